@@ -43,6 +43,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(others), F.translate(text, upper, lower)).otherwise(F.lower(text))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a column that a lambda uses may be put into it, and computed
+    again for every element, whereas a lambda's own variable is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered for up to CACHED_WORDS words."""
 

@@ -6,30 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ecoloom.llm import langid, mixing, quality
+from ecoloom.llm import decontamination, fingerprints, langid, lm, mixing, neardup, pii, quality, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(_read(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(_read(spark, sf_dir, "documents"), key="ecoloom-pseudonyms")
+    return done.select("doc_id", "text", "n_private")
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_language": op2_language,
-    "op6_mixing": op6_mixing,
-    "op10_quality": op10_quality,
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_language,
+        op3_neardup,
+        op4_decontamination,
+        op5_warc,
+        op6_mixing,
+        op7_pii,
+        op8_lm,
+        op9_fingerprints,
+        op10_quality,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -55,5 +95,26 @@ c as (
 select doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target)::bigint - start_at)) + greatest(0, least(size, floor(target)::bigint - start_at - source_size)))::bigint as taken
 from c
+""",
+    "op4_decontamination": r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) as w
+  from documents),
+i as (
+  select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []::varchar[]) as w
+  from benchmark),
+win as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') as k
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10 + 1, 1) + 1)) as p from i where len(w) > 0)),
+lens as (select distinct n from win),
+dw as (
+  select doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') as k
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, lens where len(w) >= n)),
+hits as (select dw.doc_id, dw.p, dw.n, win.item_id from dw join win on dw.k = win.k and dw.n = win.n),
+pos as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(pos.n_hit, 0)::bigint as n_hit, coalesce(its.n_items, 0)::bigint as n_items,
+       sha256(coalesce(its.ids, '')) as items_sha256, coalesce(pos.n_hit, 0) > 0 as contaminated
+from d left join pos on d.doc_id = pos.doc_id left join its on d.doc_id = its.doc_id
 """,
 }
