@@ -1,0 +1,405 @@
+"""Every training-data operator against a brute-force version, and on awkward rows."""
+
+import datetime
+import hashlib
+import random
+import re
+
+import pytest
+
+pytest.importorskip("ecoloom.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ecoloom.llm import decontamination, fingerprints, langid, lm, mixing, neardup, pii, quality, toxicity, warc  # noqa: E402
+
+RNG = random.Random(5)
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, node string"
+
+
+def word():
+    return "".join(RNG.choice(SYLLABLES) for _ in range(RNG.randint(1, 4)))
+
+
+def prose(n):
+    return " ".join(word() for _ in range(n))
+
+
+def documents(spark, texts, start=0):
+    """Rows with columns that clash with names the operators use inside."""
+    rows = [(start + i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+AWKWARD = [None, "", " ", "\n\t", "a", "A a A", "ß", "x" * 30_000, prose(6000), "same text here", "same text here", "1 2 3", "!!! ???"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    docs = documents(spark, AWKWARD)
+    repeated = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "no id", None, None, None, None, None), (None, None, None, None, None, None, None)], DOCS))
+    return repeated.cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(13)] + [(None, 1, 1), (3, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+QUERIES = {
+    "toxicity": lambda d, lab: toxicity.score_documents(d, lab),
+    "quality": lambda d, lab: quality.score_documents(d, lab),
+    "langid": lambda d, lab: langid.identify(d),
+    "neardup": lambda d, lab: neardup.deduplicate(d),
+    "decontamination": lambda d, lab: decontamination.digest(decontamination.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text"))),
+    "mixing": lambda d, lab: mixing.mix(d),
+    "pii": lambda d, lab: pii.pseudonymise(d, "k"),
+    "lm": lambda d, lab: lm.score_documents(d),
+    "fingerprints": lambda d, lab: fingerprints.edited_neighbours(d),
+    "warc": lambda d, lab: warc.round_trip(d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), "lang")),
+}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_awkward_rows_keep_their_number(name, odd, labels):
+    rows = QUERIES[name](odd, labels).collect()
+    assert len(rows) == odd.count()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_empty_tables(name, empty, labels):
+    assert QUERIES[name](empty, labels.limit(0)).collect() == []
+
+
+def test_neardup_matches_brute_force(spark):
+    base = [prose(120) for _ in range(6)]
+    texts = []
+    for b in base:
+        words = b.split()
+        texts.append(b)
+        for edits in (0, 1, 1, 2, 3, 6):
+            w = list(words)
+            for _ in range(edits):
+                w[RNG.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += ["one two three", "One  Two\tthree", "one two", None, "", *(prose(30) + " " + base[0][:200] for _ in range(12))]
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    for percent in (80, 85):
+        sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+        got = {r["doc_id"]: r for r in neardup.deduplicate(documents(spark, texts), percent=percent).collect()}
+        assert [got[i]["component_id"] for i in range(len(texts))] == root
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+        assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_neardup_large_group_is_one_component(spark):
+    words = prose(200).split()
+    texts = []
+    for i in range(400):
+        w = list(words)
+        w[i % 200] = word()
+        texts.append(" ".join(w))
+    assert {r["component_id"] for r in neardup.deduplicate(documents(spark, texts)).collect()} == {0}
+
+
+def test_decontamination_matches_brute_force(spark):
+    items = [prose(25), prose(10), prose(4), word() + word() + "zz", "", None, "Été à LA plage ÉCOLE"]
+    texts = []
+    for _ in range(40):
+        t = prose(60).split()
+        item = RNG.choice(items[:4]).split()
+        cut = RNG.randrange(len(item))
+        at = RNG.randrange(len(t))
+        t[at:at] = item[: cut + 1] if RNG.random() < 0.5 else item
+        texts.append(" ".join(t).upper() if RNG.random() < 0.3 else ", ".join(t))
+    texts += ["été à la plage École", "été à la plage ÉCOLE!", None, ""]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bench = spark.createDataFrame(list(enumerate(items)) + [(1, items[1])], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.digest(decontamination.decontaminate(documents(spark, texts), bench)).collect()}
+    for d, t in enumerate(texts):
+        w, hit, found = split(t), set(), set()
+        for i, item in enumerate(items):
+            x = split(item)
+            for p in range(max(1, len(x) - 9) if x else 0):
+                window = x[p : p + 10]
+                for s in range(len(w) - len(window) + 1):
+                    if w[s : s + len(window)] == window:
+                        hit.update(range(s, s + len(window)))
+                        found.add(str(i))
+        r = got[d]
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(w), len(hit), len(found))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r["contaminated"] == bool(hit)
+
+
+def feistel(x, a, b, tweak, key):
+    left, right = divmod(x, b)
+    f = lambda v, i, m: int(hashlib.sha256("|".join(map(str, (key, tweak, a, b, i, v))).encode()).hexdigest()[:15], 16) % m
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + f(right, i, a)) % a
+        else:
+            right = (right + f(left, i, b)) % b
+    return left * b + right
+
+
+def digits_permuted(s, radix, tweak, key):
+    alphabet, chunk, out = "0123456789abcdefghijklmnopqrstuvwxyz", {10: 18, 16: 14, 36: 10}[radix], ""
+    for i in range(0, len(s), chunk):
+        part = s[i : i + chunk]
+        n = len(part)
+        v = feistel(int(part, radix), radix ** -(-n // 2), radix ** (n // 2), f"{tweak}|{i // chunk}|{len(s)}", key)
+        t = ""
+        for _ in range(n):
+            v, d = divmod(v, radix)
+            t = alphabet[d] + t
+        out += t
+    return out
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits)))
+
+
+def fill(template, chars):
+    it = iter(chars)
+    return "".join(next(it) if c.isalnum() else c for c in template)
+
+
+def test_pii_matches_brute_force(spark):
+    key = "k"
+    card = "453201511283036"
+    card += str(-luhn(card + "0") % 10)
+    values = {
+        card: None,
+        "4-4": f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}",
+        "phone": "+1 (017) 555-7713",
+        "email": "Jo.68@mail7.example.com",
+        "upper": "JO.68@MAIL7.EXAMPLE.COM",
+        "ip": "154.127.37.204",
+        "secret": "b44e15e09fd311c3cf3163b66d5a9875b883d8ce",
+        "ssn": "123-45-6789",
+        "iso": "1987-02-28",
+        "dot": "28.02.1987",
+    }
+
+    def expected_card(t):
+        d = re.sub(r"\D", "", t)
+        body = d[0] + digits_permuted(d[1:-1], 10, "card", key)
+        return fill(t, body + str(-luhn(body + "0") % 10))
+
+    day = (datetime.date(1987, 2, 28) - datetime.date(1900, 1, 1)).days
+    new_day = datetime.date(1900, 1, 1) + datetime.timedelta(feistel(day, 270, 270, "date", key))
+    place = (122 * 99 + 44) * 9999 + 6788
+    front, serial = divmod(feistel(place, 898 * 99, 9999, "ssn", key), 9999)
+    area = front // 99 + 1
+    ip = feistel(int.from_bytes(bytes([154, 127, 37, 204])), 65536, 65536, "ip", key)
+    local = digits_permuted("jo68", 36, "email", key)
+    want = {
+        card: expected_card(card),
+        "4-4": expected_card(values["4-4"]),
+        "phone": fill("+1 (017) 555-7713", "1" + digits_permuted("0175557713", 10, "phone", key)),
+        "email": fill("Jo.68", local) + "@mail7.example.com",
+        "upper": fill("JO.68", local.upper()) + "@MAIL7.EXAMPLE.COM",
+        "ip": ".".join(str(x) for x in ip.to_bytes(4)),
+        "secret": digits_permuted(values["secret"], 16, "secret", key),
+        "ssn": f"{area + (area > 665):03d}-{front % 99 + 1:02d}-{serial + 1:04d}",
+        "iso": new_day.isoformat(),
+        "dot": new_day.strftime("%d.%m.%Y"),
+    }
+    bad = ["4532015112830361" if card != "4532015112830361" else "4532015112830362", "999.1.1.1", "1987-02-30", "000-12-3456", "plain words", "v 1.2.3", "50%"]
+    names = list(values)
+    texts = [f"é {values[n] or n}, then {values[n] or n}." for n in names] + bad + [None, ""]
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(documents(spark, texts), key).collect()}
+    for i, n in enumerate(names):
+        assert rows[i]["text"] == f"é {want[n]}, then {want[n]}.", n
+        assert rows[i]["n_private"] == 2
+        for s in rows[i]["private"]:
+            assert rows[i]["text"][s["start"] : s["start"] + s["length"]] == s["pseudonym"] == want[n]
+    for i, t in enumerate(bad + [None, ""], len(names)):
+        assert (rows[i]["text"], rows[i]["n_private"]) == (t, 0)
+
+
+def test_feistel_is_a_permutation(spark):
+    for a, b in ((10, 10), (10, 1), (7, 13), (270, 3)):
+        n = a * b
+        x = spark.range(n).select(pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit("t"), "k").alias("y"))
+        assert sorted(r["y"] for r in x.collect()) == list(range(n))
+
+
+def test_fingerprints_match_row_by_row(spark):
+    from ecoloom.llm.common import WordHashes
+
+    texts = [prose(RNG.randint(0, 80)) for _ in range(40)] + [None, "", "é"]
+    got = {r["doc_id"]: r for r in fingerprints.edited_neighbours(documents(spark, texts), rows_per_part=5).collect()}
+    known, n = WordHashes(), len(texts)
+    for i in range(n):
+        t, after = texts[i] or "", texts[i - 1] or ""  # the next lower id; after 0 the greatest
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        r = got[i]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == fingerprints.fingerprint(t, known).hex()
+        assert r["edited_fingerprint"] == fingerprints.fingerprint(edited, known).hex()
+        assert r["near_next"] == fingerprints.likeness(bytes.fromhex(r["fingerprint"]), fingerprints.fingerprint(after, known))
+
+
+def test_fingerprint_search_finds_all(spark):
+    prints = [RNG.getrandbits(128) for _ in range(60)]
+    prints += [p ^ (1 << RNG.randrange(128)) ^ (1 << RNG.randrange(128)) for p in prints[:30]] + prints[:5]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    for radius in (0, 2, 3):
+        got = {(r["query"], r["fingerprint"], r["distance"]) for r in fingerprints.search(df, df, radius).collect()}
+        want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in prints for b in prints if (a ^ b).bit_count() <= radius}
+        assert got == want
+
+
+def test_mixing_meets_targets(spark):
+    texts = [prose(RNG.randint(0, 50)) for _ in range(300)]
+    rows = mixing.mix(documents(spark, texts)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    sizes = {s: sum(r["size"] for r in g) for s, g in by.items()}
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        for s in full or open_:
+            target[s] = 2 * sizes[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ -= full or open_
+    for s, g in by.items():
+        assert abs(g[0]["target"] - target[s]) < 1e-6
+        assert sum(r["taken"] for r in g) == int(target[s] + 1e-9)
+        assert all(r["taken"] <= 2 * r["size"] for r in g)
+        assert all(0 <= c["position"] <= 1 for r in g for c in r["copies"])
+    again = mixing.mix(documents(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in rows)
+
+
+def test_positions_invert_the_schedule(spark):
+    df = spark.createDataFrame([(q / 10, a, b) for q in range(11) for a, b in ((1.5, 0.5), (1.0, 1.0), (0.0, 2.0), (2.0, 0.0))], "q double, a double, b double")
+    for r in df.select("*", mixing.position(F.col("q"), F.col("a"), F.col("b")).alias("t")).collect():
+        whole = (r["a"] + r["b"]) / 2
+        assert abs((r["a"] * r["t"] + (r["b"] - r["a"]) * r["t"] ** 2 / 2) / whole - r["q"]) < 1e-9
+
+
+def test_schedule_is_in_order(spark):
+    out = mixing.scheduled(documents(spark, [prose(20) for _ in range(60)])).collect()
+    assert [r["mix_position"] for r in out] == sorted(r["mix_position"] for r in out)
+
+
+def test_lm_matches_direct_counts(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    texts = [prose(RNG.randint(0, 40)) for _ in range(120)] + [None, ""]
+    rows = {r["doc_id"]: r for r in lm.score_documents(documents(spark, texts)).collect()}
+    toks = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "</s>"]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
+    c = Counter(w for i, t in enumerate(texts) if not held[i] for w in toks(t))
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        r, w = rows[i], toks(t)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(x in c for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), abs=1e-9)
+        assert r["score"] < 0
+
+
+def test_lm_weights_are_mixtures_and_units_do_not_matter(spark, monkeypatch):
+    texts = [prose(30) for _ in range(60)]
+    whole = {r["doc_id"]: r["base_score"] for r in lm.score_documents(documents(spark, texts)).collect()}
+    monkeypatch.setattr(lm, "UNIT_CHARS", 1_000)
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 200)
+    cut = {r["doc_id"]: r["base_score"] for r in lm.score_documents(documents(spark, texts)).collect()}
+    assert whole == pytest.approx(cut)
+
+
+def test_langid_learns(spark):
+    stems = {"aa": ["ka", "ko", "ki"], "bb": ["lu", "le", "lo"], "cc": ["sch", "ung", "ein"]}
+    rows = [(i, " ".join("".join(RNG.choice(stems[x]) for _ in range(3)) for _ in range(30)), x, "s", 0, "", "") for i in range(150) for x in [list(stems)[i % 3]]]
+    rows += [(900, "123 !!", "aa", "s", 0, "", ""), (901, None, "aa", "s", 0, "", "")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[r[0]]["lang_pred"] == r[2] for r in rows[:150])
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_quality_learns(spark):
+    texts = [prose(60) if i % 2 else " ".join([word()] * 60) for i in range(400)]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = quality.score_documents(documents(spark, texts), lab).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert held and sum(r["predicted"] == r["doc_id"] % 2 for r in held) >= 0.97 * len(held)
+
+
+def test_toxicity_learns_and_neighbours_are_exact(spark):
+    import numpy as np
+
+    texts = [prose(40) + (" vile scum" if i % 5 == 0 else "") for i in range(400)]
+    lab = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    rows = toxicity.score_documents(documents(spark, texts), lab).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
+
+    vocabulary = {f"t{i}": i for i in range(40)}
+    vector = lambda: tuple(sorted((t, RNG.randint(1, 4)) for t in RNG.sample(range(40), RNG.randint(1, 6))))
+    examples = [(i, i % 2, vector()) for i in range(300)]
+    index = toxicity.Index.build(vocabulary, examples)
+
+    def dense(counts):
+        x = np.zeros(40)
+        for t, n in counts:
+            x[t] = (1 + np.log(n)) * index.idf[t]
+        return x / np.linalg.norm(x)
+
+    all_vectors = np.stack([dense(e[2]) for e in examples])
+    for _ in range(50):
+        q = vector()
+        want = sorted(((s, i) for i, s in enumerate(all_vectors @ dense(q)) if s > 0), key=lambda x: (-round(x[0], 10), x[1]))[:9]
+        got = index.nearest(q, 9)
+        assert [round(s, 8) for s, _ in got] == [round(s, 8) for s, _ in want]
+
+
+def test_warc_round_trip_and_lookup(spark):
+    html = ["<p>é</p>", "<p>b</p>", "<p>é</p>", "", None, "<p>b</p>", "x" * 100_000]
+    urls = ["http://a.org/1", "https://b.a.org:444/x?Q=1", "http://a.org/1", None, "no url", "http://a.org:80/2", "http://z.com/ü\nü"]
+    pages = spark.createDataFrame(list(zip([7, 3, 2, 9, 8, 1, 4], urls, html, strict=True)), "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    first = {}
+    for p, h in sorted(zip([7, 3, 2, 9, 8, 1, 4], html, strict=True), key=lambda x: x[0]):
+        data = (h or "").encode()
+        r = rows[p]
+        ref = first.setdefault(data, p)
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(data), warc.payload_digest(data))
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if ref == p else ("revisit", ref))
+        assert bytes(r["payload"]) == (data if ref == p else b"")
+    folder = warc.archive_folder(spark)
+    many = spark.range(500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".org/p"), F.col("id") % 50).alias("url"), F.col("id").cast("string").alias("html"))
+    top = warc.index(warc.write(many, folder), folder, block_lines=16)
+    wanted = ["http://h3.org/p10", "http://h0.org/p0", "http://missing.org/"]
+    got = warc.lookup(top, warc.keys_of(spark.createDataFrame([(u,) for u in wanted], "url string"))).collect()
+    want = {i for i in range(500) if f"http://h{i % 7}.org/p{i % 50}" in wanted}
+    assert {r["page_id"] for r in got} == want
+    assert warc.url_key("http://www.A.org:80/X?y") == "org,a,www)/x?y"
