@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied and filled anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,9 @@ from ecoloom.llm.common import WordHashes, hashes_of, learned_from, mixed, store
 
 #: Hashes of the end token and of the start context; no word hashes to exactly these but by accident of 2^-64.
 END, START = np.uint64(0x8E5D1C3A97F04B26), np.uint64(0x1B7F3E9D5C82A640)
-UNIT_CHARS = 6_000_000
-FLUSH_TOKENS = 1_500_000
-BUCKET_KEYS = 3_000_000
+UNIT_CHARS = 3_000_000
+FLUSH_TOKENS = 1_000_000
+BUCKET_KEYS = 600_000
 STEP = 0.05  # of log10 in the histogram that expectation-maximisation works on
 
 
@@ -47,8 +47,8 @@ def bigrams(unigrams: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + unigrams)
 
 
-def asked(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """docs(unit, train, text) -> kind, bucket, units, sizes, keys, counts: packed requests."""
+def asked(docs: DataFrame, n_buckets: int, unit_of: Callable) -> DataFrame:
+    """docs(id, spare, deleted, train, text) -> kind, bucket, units, sizes, keys, counts: packed requests."""
     edges = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
 
     def pack(held: dict) -> pd.DataFrame:
@@ -70,7 +70,8 @@ def asked(docs: DataFrame, n_buckets: int) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, n = WordHashes(), defaultdict(list), 0
         for pdf in batches:
-            for unit, train, text in zip(pdf["unit"], pdf["train"], pdf["text"], strict=True):
+            units = unit_of(pdf["id"], pdf["spare"], pdf["deleted"])
+            for unit, train, text in zip(units, pdf["train"], pdf["text"], strict=True):
                 one = tokens(text, known)
                 held[int(unit), bool(train)].append((one, bigrams(one)))
                 n += len(one)
@@ -80,7 +81,7 @@ def asked(docs: DataFrame, n_buckets: int) -> DataFrame:
         if n:
             yield pack(held)
 
-    return docs.select("unit", "train", "text").mapInPandas(ask, "kind int, bucket int, units binary, sizes binary, keys binary, counts binary")
+    return docs.select("id", "spare", "deleted", "train", "text").mapInPandas(ask, "kind int, bucket int, units binary, sizes binary, keys binary, counts binary")
 
 
 def answered(requests: DataFrame) -> DataFrame:
@@ -200,16 +201,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / n_units for i in range(1, n_units)], 0.05 / n_units) if n_units > 1 else []
     edges = np.unique(np.array(cuts, dtype=float))
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series, spare: pd.Series) -> pd.Series:
+    def unit_of(ids: pd.Series, spare: pd.Series, deleted: pd.Series) -> pd.Series:
         values = ids.astype("float64").to_numpy()
-        return pd.Series(np.where(np.isnan(values), spare % (len(edges) + 1), np.searchsorted(edges, values)).astype("int32"))
+        ranges = np.where(np.isnan(values), spare % (len(edges) + 1), np.searchsorted(edges, values))
+        return pd.Series(2 * ranges + deleted.to_numpy(), dtype="int32")
 
     train = learned_from("id", 10, 0)
     deleted = train & (F.pmod(F.xxhash64("id", "text"), F.lit(10)) == 0)
     spare = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int")
-    placed = rows.select("id", "text", train.alias("train"), (range_of("id", spare) * 2 + deleted.cast("int")).alias("unit"))
-    answers = stored(answered(asked(placed, n_buckets)), "lm-answers")
+    marked = rows.select("id", "text", train.alias("train"), deleted.alias("deleted"), spare.alias("spare"))
+    placed = marked.withColumn("unit", F.pandas_udf(unit_of, "int")("id", "spare", "deleted"))
+    answers = stored(answered(asked(marked, n_buckets, unit_of)), "lm-answers")
     stats = [np.frombuffer(r["totals"], np.int64) for r in answers.filter("unit = -1 and kind = 1").select("totals").collect()]  # a row a bucket
     vocabulary, total, total_deleted = (int(sum(s[i] for s in stats)) for i in range(3))
     uniform = 1 / (vocabulary + 1)
@@ -222,11 +224,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         context = u.contexts(u.c - u.c_deleted)
         p2 = ratio(u.pair - u.pair_deleted, context)
         p1 = ratio(u.c - u.c_deleted, total - total_deleted)
-        step = lambda p: np.where(p > 0, np.round(np.log10(np.maximum(p, 1e-300)) / STEP), -9999).astype(np.int64)
-        cells = pd.DataFrame({"bucket": bucket_of(context), "two": step(p2), "one": step(p1)})
-        return cells.groupby(["bucket", "two", "one"]).size().rename("n").reset_index()
+        step = lambda p: np.where(p > 0, np.round(np.log10(np.maximum(p, 1e-300)) / STEP), -9999).astype(np.int64) + 10_000
+        cells, n = np.unique((bucket_of(context) << 32) | (step(p2) << 16) | step(p1), return_counts=True)
+        return pd.DataFrame({"bucket": cells >> 32, "two": ((cells >> 16) & 0xFFFF) - 10_000, "one": (cells & 0xFFFF) - 10_000, "n": n})
 
-    held = placed.filter(deleted).select("unit", "text").groupBy("unit").cogroup(own.filter("unit % 2 = 1").groupBy("unit"))
+    held = placed.filter("deleted").select("unit", "text").groupBy("unit").cogroup(own.filter("unit % 2 = 1").groupBy("unit"))
     cells = held.applyInPandas(histogram, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = learnt_weights(cells.toPandas(), uniform)  # cells are bounded by STEP, whatever the corpus
     shared = spark.sparkContext.broadcast(weights)
