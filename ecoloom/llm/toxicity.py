@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their prefixes of 4 to 8 characters (toxic stems carry free endings in some
-languages). From a bounded sample of labelled rows the terms that a chi-square test ties to the label
+Terms are words and their prefixes of 5 and 7 characters (toxic stems carry free endings in some
+languages), and "the term occurs twice at least" and "three times at least" are terms of their own. From a
+bounded sample of labelled rows the terms that a chi-square test ties to the label
 are kept; documents are compared by TF-IDF over these. The examples stand in blocks; for every term the
 index keeps each block's postings and its greatest weight. Blocks are visited in the order of their
 upper bounds until the bound is at or below the k-th best similarity, so the neighbours are exact.
@@ -26,10 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import CACHED_WORDS, calibrated, calibration, learned_from
+from ecoloom.llm.common import CACHED_WORDS, calibrated, calibration, learned_from, stored
 
 _WORD = re.compile(r"\w+")
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (5, 7)
+#: Tasks that the bounded sample is dealt to.
+SAMPLE_TASKS = 8
+#: A term's counts from which it stands for a further term.
+REPEATS = (1, 2, 3)
 BLOCK = 64
 
 
@@ -41,27 +46,33 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def name_of(term: str, repeat: int) -> str:
+    return term if repeat == 1 else f"{term} x{repeat}"
+
+
 class TermIds(dict):
-    """word -> numbers of its kept terms, remembered for up to CACHED_WORDS words."""
+    """word -> its terms that are kept in some form, remembered for up to CACHED_WORDS words."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+        self.forms: dict[str, list[tuple[int, int]]] = {}
+        for name, number in vocabulary.items():
+            term, _, repeat = name.partition(" x")
+            self.forms.setdefault(term, []).append((int(repeat or 1), number))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        get = self.vocabulary.get
-        value = self[word] = tuple(i for t in terms_of(word) if (i := get(t)) is not None)
+        value = self[word] = tuple(t for t in terms_of(word) if t in self.forms)
         return value
 
 
 def term_counts(text: str | None, ids: TermIds) -> tuple[tuple[int, int], ...]:
-    """(term, count) pairs in the order of the terms."""
-    counts: Counter[int] = Counter()
+    """(term, count) pairs of kept terms, in the order of their numbers."""
+    counts: Counter[str] = Counter()
     for found in map(ids.__getitem__, words_of(text)):
         if found:
             counts.update(found)
-    return tuple(sorted(counts.items()))
+    return tuple(sorted((number, n) for term, n in counts.items() for repeat, number in ids.forms[term] if n >= repeat))
 
 
 @dataclass
@@ -131,7 +142,10 @@ class Index:
 
 
 def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[str]:
-    """The at most max_terms terms with the greatest chi-square against the label, by documents."""
+    """The at most max_terms terms with the greatest chi-square against the label, by documents.
+
+    Of terms that are each other's prefix and stand in as many documents, the longest is kept.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -139,7 +153,8 @@ def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[s
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 rows[label] += 1
-                seen[label].update({t for w in set(words_of(text)) for t in terms_of(w)})
+                counts = Counter(t for w in words_of(text) for t in terms_of(w))
+                seen[label].update(name_of(t, r) for t, n in counts.items() for r in REPEATS if n >= r)
         names = sorted(seen[0].keys() | seen[1].keys())
         yield pd.DataFrame({"term": ["", *names], "n0": [rows[0], *(seen[0][t] for t in names)], "n1": [rows[1], *(seen[1][t] for t in names)]})
 
@@ -151,7 +166,16 @@ def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[s
     n = n0 + n1
     odds = a * (n0 - b) - b * (n1 - a)
     chi2 = n * odds * odds / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
-    return [r["term"] for r in sums.filter("term != ''").withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+    best = sums.filter("term != ''").withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), F.length("term").desc(), "term").limit(max_terms).collect()
+    kept: list[str] = []
+    stems: dict[tuple, list[str]] = {}
+    for r in best:
+        term, _, repeat = r["term"].partition(" x")
+        longer = stems.setdefault((r["n0"], r["n1"], repeat), [])
+        if not any(w.startswith(term.rstrip("*")) for w in longer):
+            kept.append(r["term"])
+            longer.append(term)
+    return kept
 
 
 def score_documents(
@@ -159,10 +183,10 @@ def score_documents(
     labels: DataFrame,
     threshold: float = 0.3,
     k: int = 9,
-    max_labelled: int = 16_000,
-    max_examples: int = 4_000,
+    max_labelled: int = 8_000,
+    max_examples: int = 3_000,
     max_terms: int = 1_500,
-    least_chi2: float = 15.0,
+    least_chi2: float = 35.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -177,6 +201,7 @@ def score_documents(
     known = labels.select(F.col(id_col).alias("known"), F.col(label_col).cast("int").alias("label")).filter("known is not null and label in (0, 1)").filter(learned_from("known", 4, 2))
     chosen = known.withColumn("h", F.xxhash64("known")).orderBy("h", "known", "label").limit(max_labelled)
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("known"))  # max_labelled rows of numbers
+    sample = stored(sample.select("id", "text", "label", "h").repartition(SAMPLE_TASKS), "toxicity-sample")
     vocabulary = {t: i for i, t in enumerate(kept_terms(sample, max_terms, least_chi2))}
     words = spark.sparkContext.broadcast(vocabulary)
 
