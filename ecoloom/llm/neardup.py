@@ -1,15 +1,19 @@
 """Near-duplicate documents by bottom-k sketches.
 
 One hash function orders all shingles; a document's sketch is the k least of its shingle hashes.
-Equal shingle sets are one node. Inverted lists of retained values generate candidates:
+Equal shingle sets are one node. The inverted lists of retained values work twice:
 
-* Two sets with Jaccard similarity >= j share about j * k of the least k hashes of their union; `share`
-  is a bound several standard deviations below that. So two linked nodes share a value among the first
-  s - ceil(share * s) + 1 of the s in either sketch when all are ordered by rarity (the prefix-filter
-  argument on sketches). Only those values enter the inverted lists, and values of one node alone drop out.
-* Every member of a list is compared to its least and greatest member (stars: as many pairs as
-  postings), verified links are joined into components, and only members of different components are
-  then compared with each other. So a large group of near copies costs a multiple of its size.
+* Screening, with few values a node: sets with Jaccard similarity j share about j * k of the k least
+  hashes of their union. A node of which far fewer values (by `sigmas` standard deviations) stand in
+  another sketch too is linked with nothing and goes no further.
+* Candidates, with `k_wide` values of the nodes left. All values of a sketch are ordered by rarity; two
+  linked nodes share one among the first s - o + 1 of either, where o is the least overlap that the
+  pair's sizes allow (the prefix-filter argument; exact for sketches that hold their whole set, with the
+  same standard deviations below otherwise). Only those values enter the lists.
+
+In every list all members are first compared to a hub, the member with the most shared values; verified
+links are joined into components, and only members of different components are then compared with each
+other. So a large group of near copies costs a multiple of its size.
 
 The union sketch of a pair estimates its similarity; pairs within `sigmas` standard deviations of the
 threshold or above go on to the exact test on the full sets.
@@ -70,20 +74,54 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("text").mapInPandas(describe, "node binary, shingles array<long>")
 
 
-def postings(nodes: DataFrame, share: float) -> DataFrame:
-    """nodes(node, n, sketch) -> v, node, n, prefix: the inverted lists of two nodes and more."""
+def slack(j: float, k: int, sigmas: float) -> float:
+    """Share of k values that sets of similarity j have in common, less `sigmas` standard deviations."""
+    return max(0.0, j - sigmas * math.sqrt(j * (1 - j) / k))
+
+
+def screened(nodes: DataFrame, j: float, k: int, sigmas: float) -> DataFrame:
+    """nodes(node, sketch) -> node: those with enough values that stand in two sketches or more."""
+    values = nodes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select("v")
+    least = F.when(F.col("s") < k, F.lit(j)).otherwise(F.lit(slack(j, k, sigmas))) * F.col("s")
+    return values.join(common, "v").groupBy("node", "s").agg(F.count("*").alias("shared")).filter(F.col("shared") >= F.floor(least)).select("node")
+
+
+def least_overlap(n1: Column, n2: Column, j: float, k: int, sigmas: float) -> Column:
+    """Values that the sketches of linked sets of n1 and n2 shingles share at least.
+
+    Linked sets share j / (1 + j) * (n1 + n2) shingles. Of these about k / greater of n1, n2 stand in both
+    sketches when one is cut off at k values.
+    """
+    both, most = F.lit(j / (1 + j)) * (n1 + n2), F.greatest(n1, n2)
+    share = F.least(F.lit(1.0), both / most)
+    cut = F.lit(float(k)) * share - F.lit(sigmas) * F.sqrt(F.lit(float(k)) * (share * (1 - share) + F.lit(0.01)))
+    return F.when(most <= k, F.ceil(both - 1e-6)).otherwise(F.greatest(F.floor(cut), F.lit(1)))
+
+
+def postings(nodes: DataFrame, j: float, k: int, sigmas: float) -> DataFrame:
+    """nodes(node, n, sketch) -> v, node, n, s, pos, shared: the inverted lists of two nodes and more.
+
+    pos: the value's place, from 1, when the sketch is ordered by rarity; shared: the node's values that
+    stand elsewhere too.
+    """
     values = nodes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = values.join(common, "v")
     by_node = Window.partitionBy("node")  # k rows at most
-    allowed = F.col("s") - F.ceil(F.lit(share) * F.col("s")) + 1 - (F.col("s") - F.count("*").over(by_node))
-    rank = F.row_number().over(by_node.orderBy("df", "v"))
-    kept = shared.withColumn("rank", rank).withColumn("allowed", allowed).filter("rank <= allowed")
-    return kept.withColumn("prefix", F.collect_list("v").over(by_node)).select("v", "node", "n", "prefix")
+    shared = values.join(common, "v").withColumn("shared", F.count("*").over(by_node))
+    placed = shared.withColumn("pos", F.col("s") - F.col("shared") + F.row_number().over(by_node.orderBy("df", "v")))
+    exact = F.ceil(F.lit(j) * F.col("n") - 1e-6)  # least_overlap() with the partner that allows the least
+    cut = F.lit(max(1, math.floor(k * j - sigmas * math.sqrt(k * (j * (1 - j) + 0.01)))))
+    most = F.col("s") - F.when(F.col("n") / F.lit(j) <= k, exact).otherwise(F.least(exact, cut)) + 1
+    return placed.filter(F.col("pos") <= most).select("v", "node", "n", "s", "pos", "shared")
 
 
-def _fits(n1: Column, n2: Column, j: float) -> Column:
-    return F.least(n1, n2) >= F.lit(j - 1e-9) * F.greatest(n1, n2)
+def may_link(a: str, b: str, j: float, k: int, sigmas: float) -> Column:
+    """Size and place of two postings (structs n, s, pos) of one list allow a link."""
+    n1, n2 = F.col(f"{a}.n"), F.col(f"{b}.n")
+    o = least_overlap(n1, n2, j, k, sigmas)
+    fits = F.least(n1, n2) >= F.lit(j - 1e-9) * F.greatest(n1, n2)
+    return fits & (F.col(f"{a}.pos") <= F.col(f"{a}.s") - o + 1) & (F.col(f"{b}.pos") <= F.col(f"{b}.s") - o + 1)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, k: int, j: float, sigmas: float) -> DataFrame:
@@ -121,44 +159,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def deduplicate(docs: DataFrame, percent: int = 85, width: int = 5, k: int = 64, sigmas: float = 5.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(
+    docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, k_wide: int = 512, sigmas: float = 5.5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs; see the module's text.
 
-    A true link is lost only if its union sketch falls short of the threshold by `sigmas` standard
-    deviations, or by as much in the share of common values: less than one in a million links at 5.5.
+    A true link is lost only if a sketch shows it `sigmas` standard deviations less alike than it is: less than
+    one in a million links at 5.5.
     """
     j = percent / 100
-    share = max(0.0, j - sigmas * math.sqrt(j * (1 - j) / k))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     each = stored(sketches(rows, width, k), "sketches")
-    nodes = each.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-    lists = stored(postings(nodes.select("node", "n", "sketch"), share), "postings")
+    nodes = each.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.any_value("sketch").alias("sketch"))
+    alike = stored(screened(nodes.select("node", "sketch"), j, k, sigmas), "screened")
 
-    # one text for each node that stands in a list
-    holders = nodes.select("node", F.col("least").alias("holder")).join(lists.select("node").distinct(), "node", "left_semi")
+    # the full set of each node left, from one text that has it
+    holders = nodes.select("node", F.col("least").alias("holder")).join(alike, "node", "left_semi")
     texts = rows.join(holders, F.col("id").eqNullSafe(F.col("holder"))).select("id", "text")
-    sets = full_sets(texts, width).join(holders.select("node"), "node", "left_semi")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
-    near = nodes.select("node", "sketch").join(lists.select("node").distinct(), "node", "left_semi")
-
-    ends = lists.groupBy("v").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo.node < hi.node")
-    star = lists.join(ends, "v")
-    hub = F.explode(F.array("lo", "hi"))
-    star = star.select("node", "n", hub.alias("hub")).filter((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n"), j))
-    star = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = stored(verified(estimated(star, near, k, j, sigmas), sets, percent), "star-links")
+    sets = stored(full_sets(texts, width).join(alike, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    near = sets.select("node", F.size("shingles").alias("n"), F.slice("shingles", 1, k_wide).alias("sketch"))
+    lists = stored(postings(near, j, k_wide, sigmas), "postings")
+
+    hubs = lists.groupBy("v").agg(F.max(F.struct((F.col("shared") / F.col("s")).alias("typical"), "node", "n", "s", "pos")).alias("hub"), F.count("*").alias("members")).filter("members > 1").select("v", "hub")
+    star = lists.select("v", F.struct("node", "n", "s", "pos").alias("x")).join(hubs, "v").filter((F.col("x.node") != F.col("hub.node")) & may_link("x", "hub", j, k_wide, sigmas))
+    star = star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
+    links = stored(verified(estimated(star, near, k_wide, j, sigmas), sets, percent), "star-links")
     roots = components(links)
 
     # what stands in one list but in different components so far
     rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = rooted.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("v")
-    rest = rooted.join(open_lists, "v", "left_semi")
-    x = rest.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), F.col("root").alias("ra"))
-    y = rest.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), F.col("root").alias("rb"))
-    first = F.array_min(F.array_intersect("pa", "pb")) == x["v"]  # each pair once, at its first common value
-    cross = x.join(y, (x["v"] == y["v"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(F.col("na"), F.col("nb"), j) & first).select("a", "b")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "v")).over(Window.partitionBy("node")))["v"]
+    rest = rooted.join(open_lists, "v", "left_semi").withColumn("prefix", listed)
+    x = rest.select("v", F.struct("node", "root", "n", "s", "pos", "prefix").alias("x"))
+    y = rest.select("v", F.struct("node", "root", "n", "s", "pos", "prefix").alias("y"))
+    rarest = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == x["v"]  # each pair once, in its rarest list
+    shared = (x["v"] == y["v"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    cross = x.join(y, shared & may_link("x", "y", j, k_wide, sigmas) & rarest).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     cross = cross.join(star, ["a", "b"], "left_anti")
-    more = stored(verified(estimated(cross, near, k, j, sigmas), sets, percent), "cross-links")
+    more = stored(verified(estimated(cross, near, k_wide, j, sigmas), sets, percent), "cross-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
