@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ecoloom.llm import decontamination, fingerprints, langid, lm, mixing, neardup, pii, quality, toxicity, warc
+from ecoloom.llm.common import stored
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,8 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_neighbours(_read(spark, sf_dir, "documents"))
+    rows = stored(fingerprints.edited_neighbours(_read(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprints.with_search(rows)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,15 @@ def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3) -> Data
     return met.select("query", "fingerprint", far.alias("distance"))
 
 
+def with_search(rows: DataFrame, radius: int = 7, divisor: int = 100, id_col: str = "doc_id") -> DataFrame:
+    """rows(id, fingerprint, ...) with n_similar: the distinct fingerprints within `radius` bits of the row's own,
+    itself included, for ids divisible by `divisor` (the queries); null for the others."""
+    queries = rows.filter(F.col(id_col) % divisor == 0).select("fingerprint")
+    counts = search(queries, rows, radius).groupBy(F.col("query").alias("q")).agg(F.count("*").alias("n_similar"))
+    joined = rows.join(counts, (F.col("fingerprint") == F.col("q")) & (F.col(id_col) % divisor == 0), "left")
+    return joined.drop("q")
+
+
 def edited_neighbours(docs: DataFrame, rows_per_part: int = 2_000, most_parts: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row, in descending id (nulls last): its fingerprint, that of the text whose last third is
     replaced by the next row's beginning, and the likeness to both that and the next row's fingerprint.

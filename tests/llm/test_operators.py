@@ -271,6 +271,16 @@ def test_fingerprint_search_finds_all(spark):
         assert got == want
 
 
+def test_search_columns(spark):
+    docs = documents(spark, [prose(30) for _ in range(120)] + ["same words here"] * 5, start=95)
+    rows = {r["doc_id"]: r for r in fingerprints.with_search(fingerprints.edited_neighbours(docs)).collect()}
+    assert len(rows) == 125
+    prints = {int(r["fingerprint"], 16) for r in rows.values()}
+    for i, r in rows.items():
+        want = sum((int(r["fingerprint"], 16) ^ p).bit_count() <= 7 for p in prints) if i % 100 == 0 else None
+        assert r["n_similar"] == want
+
+
 def test_mixing_meets_targets(spark):
     texts = [prose(RNG.randint(0, 50)) for _ in range(300)]
     rows = mixing.mix(documents(spark, texts)).collect()
