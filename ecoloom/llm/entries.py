@@ -51,7 +51,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(fingerprints.edited_neighbours(_read(spark, sf_dir, "documents")), "fingerprints")
-    return fingerprints.with_search(rows)
+    return fingerprints.with_matches(rows)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,39 @@ def test_search_columns(spark):
         assert r["n_similar"] == want
 
 
+def test_matches_name_near_copies_and_copies(spark):
+    base = prose(250).split()
+    passage = base[:100] + prose(14).split() + base[114:]
+    scattered = list(base)
+    for i in (20, 90, 160, 230):
+        scattered[i] = word()
+    texts = [" ".join(base), " ".join(passage), " ".join(scattered), *[" ".join(base)] * 3, *[prose(250) for _ in range(40)]]
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, passage, scattered)]
+    assert all(len(runs[0] & r) / len(runs[0] | r) >= 0.8 for r in runs)
+    rows = fingerprints.edited_neighbours(documents(spark, texts, start=100))
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows.collect()}
+    for options in ({}, {"chunk": 5, "longest": 2, "most": 1}):
+        got = fingerprints.with_matches(rows, **options).collect()
+        assert {r["doc_id"] for r in got} == set(prints)
+        for i, p in prints.items():
+            mine = [m for r in got if r["doc_id"] == i for m in r["matches"] or []]
+            classes = {q for q in prints.values() if (p ^ q).bit_count() <= 27} if i % 100 == 0 else set()
+            assert sorted(int(m["fingerprint"], 16) for m in mine) == sorted(classes)
+            assert all(m["distance"] == (p ^ int(m["fingerprint"], 16)).bit_count() for m in mine)
+            assert all((m["first_id"], m["copies"]) == (min(ids), len(ids)) for m in mine for ids in [[k for k, q in prints.items() if q == int(m["fingerprint"], 16)]])
+            if i == 100:
+                assert {int(m["fingerprint"], 16) for m in mine} >= {prints[100], prints[101], prints[102]} and max(m["copies"] for m in mine) == 4
+
+
+def test_op9_names_the_matches(spark, tmp_path):
+    import __spark_entry__
+
+    text = prose(200)
+    documents(spark, [text, text, prose(200)], start=100).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in __spark_entry__.queries()["op9_fingerprints"](spark, str(tmp_path)).collect()}
+    assert [(m["first_id"], m["copies"], m["distance"]) for m in rows[100]["matches"]] == [(100, 2, 0)] and rows[101]["matches"] is None
+
+
 def test_mixing_meets_targets(spark):
     texts = [prose(RNG.randint(0, 50)) for _ in range(300)]
     rows = mixing.mix(documents(spark, texts)).collect()
