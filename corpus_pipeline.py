@@ -10,32 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecoloom.llm import decontamination, mixing, neardup, pii, quality
-from ecoloom.llm.common import stored
+from ecoloom.llm.common import identified, stored
 
 #: Of the pseudonyms; a deployment sets its own.
 KEY = "ecoloom-pseudonyms"
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among those rejected; rows with a null id stay."""
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """rows (of identified()) whose row is not among those rejected, whatever their doc_id."""
+    return rows.join(rejected.select("row"), "row", "left_anti").drop("row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    scored = quality.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return without(docs, scored.filter("predicted = 0"))
+    rows = identified(docs)
+    scored = quality.score_documents(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row")
+    return without(rows, scored.filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of every group of near duplicates: similarity of 0.8 and more on five words."""
-    return without(docs, neardup.deduplicate(docs, percent=80).filter("not kept"))
+    """Keeps one row, that of the least doc_id (null last), of every group of near duplicates: similarity of
+    0.8 and more on five words."""
+    rows = identified(docs)
+    found = stored(neardup.deduplicate(rows, percent=80, id_col="row").select("row", "component_id"), "components")
+    ranked = found.join(rows.select("row", "doc_id"), "row").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    first = ranked.groupBy("component_id").agg(F.min("rank")["row"].alias("first"))
+    return without(rows, found.join(first, "component_id").filter(F.col("row") != F.col("first")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    checked = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, checked.filter("n_hit > 0"))
+    rows = identified(docs)
+    checked = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return without(rows, checked.filter("n_hit > 0"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(df: DataFrame) -> DataFrame:
+    """df, stored, with a column `row` that no two rows share, whatever their ids are."""
+    return stored(df.withColumn("row", F.monotonically_increasing_id()), "identified")
+
+
 def learned_from(id_col: str, modulus: int, held_out: int) -> Column:
     """True where crc32 of the id's text leaves another remainder than held_out; null ids count as 0."""
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))

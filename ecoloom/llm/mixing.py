@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ecoloom.llm.common import identified
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,20 +65,22 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken, copies.
+    """One row a document: id, source, size, source_size, target, taken, copies; and row_col, if given, which
+    also orders rows of equal ids.
 
     copies: array of (copy, words, position), one for each pass over the source that takes some of the
     document. weights and schedules (weight at the start and at the end of training) go to the sources in
     order of name, repeating.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("digest", 1, 3))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), list(weights), share, float(repeat))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset")
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, rows.source.eqNullSafe(F.col("s")) & (rows.bucket == F.col("b"))).drop("s", "b")
     t = targets.withColumnRenamed("source", "s")
@@ -93,12 +97,13 @@ def mix(
 
     rows = rows.withColumn("copies", F.filter(F.array(*map(copy, range(repeat))), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "copies")
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "copies", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def scheduled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus in training order: the rows of docs, once for each copy taken, with copy, words and
     position, range-partitioned and sorted by position."""
-    plan = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("mixed_id"), F.explode("copies").alias("c"))
-    plan = plan.select("mixed_id", F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
-    return docs.join(plan, docs[id_col].eqNullSafe(plan["mixed_id"])).drop("mixed_id").repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")
+    rows = identified(docs)  # ids may be null or repeated
+    plan = mix(rows, id_col=id_col, row_col="row", **options).select("row", F.explode("copies").alias("c"))
+    plan = plan.select("row", F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
+    return rows.join(plan, "row").drop("row").repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")

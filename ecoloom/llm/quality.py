@@ -90,15 +90,17 @@ def statistics(text: str | None) -> list[float]:
 N_STATISTICS = CLASSES + 14
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, stats array<double> for every row."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, stats array<double> for every row; and row, if row_col (a long) is given."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    kept = [F.col(row_col).alias("row")] if row_col else []
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "stats": [statistics(t) for t in pdf["text"]]})
+            yield pdf.drop(columns="text").assign(stats=[statistics(t) for t in pdf["text"]])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(describe, f"id {id_type}, stats array<double>")
+    return docs.select(F.col(id_col).alias("id"), *kept, F.col(text_col).alias("text")).mapInPandas(describe, f"id {id_type}, {'row long, ' if kept else ''}stats array<double>")
 
 
 @dataclass
@@ -191,19 +193,20 @@ def scored(stats: DataFrame, model: Model, out: str, keep: list[str]) -> DataFra
     return stats.select(*keep, "stats").mapInPandas(score, f"{fields}, {out} double")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """id, held_out, score, predicted for every row of docs.
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
+    """id, held_out, score, predicted for every row of docs; and row_col, if given.
 
     Labels teach from rows whose crc32(id) mod 4 is not 2; of these, those whose xxhash64(id) mod 5 is 0
     calibrate and the others fit the ridge.
     """
-    stats = stored(with_statistics(docs, id_col, text_col), "quality-stats")
+    stats = stored(with_statistics(docs, id_col, text_col, row_col), "quality-stats")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(learned_from("id", 4, 2))
     labelled = stats.join(known, "id").withColumn("calibrate", F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("stats", "label", "calibrate")
     model = fit(labelled)
-    return scored(stats, model, "score", ["id"]).select(
+    return scored(stats, model, "score", ["id", "row"] if row_col else ["id"]).select(
         F.col("id").alias(id_col),
         (~learned_from("id", 4, 2)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

@@ -63,3 +63,30 @@ def test_stages(spark, corpus):
 
 def test_run_gives_the_stages_rows(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
+
+
+def test_rows_without_ids_and_with_one_id_are_decided_by_themselves(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    item = spark.read.parquet(f"{corpus}/benchmark.parquet").first()["text"]
+    clean = [texts[i] for i in range(3, 120) if i % 6 and i % 50 not in (1, 2, 7, 8)]
+
+    def rows(pairs):
+        return spark.createDataFrame([(i, t, "en", f"s{len(t) % 2}", len(t)) for i, t in pairs], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def left(stage, pairs):
+        return sorted(r["text"] for r in stage(spark, rows(pairs), corpus).collect())
+
+    junk, odd = texts[0], [(None, texts[0]), (0, clean[0]), (None, clean[1])]
+    judged = left(corpus_pipeline.keep_quality, list(texts.items()) + odd)
+    assert junk not in judged and judged.count(clean[0]) == 2 and judged.count(clean[1]) == 2
+    near = clean[0] + " more"
+    once = left(corpus_pipeline.drop_near_duplicates, [(None, clean[0]), (None, near), (5, clean[1]), (5, clean[1]), (None, clean[2]), (None, clean[2]), (9, clean[2]), (None, clean[3])])
+    assert len(once) == 4 and set(once) & {clean[0], near} and {clean[1], clean[2], clean[3]} <= set(once)
+    hit = f"{clean[0]} {item} {clean[1]}"
+    assert left(corpus_pipeline.drop_contaminated, [(None, hit), (None, clean[2]), (7, hit), (7, clean[3])]) == sorted([clean[2], clean[3]])
+
+    mixed = corpus_pipeline.mix_sources(spark, rows([(None, t) for t in clean[:20]] + [(4, t) for t in clean[20:40]]), corpus).collect()
+    taken = [(r["text"], r["mix_copy"]) for r in mixed]
+    assert len(set(taken)) == len(taken) and all(r["mix_words"] <= len(r["text"].split()) for r in mixed)
+    assert abs(sum(r["mix_words"] for r in mixed) - 1.5 * sum(len(t.split()) for t in clean[:40])) <= 2
