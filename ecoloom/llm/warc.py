@@ -97,6 +97,17 @@ def parsed(data: bytes) -> dict:
     return fields | {"payload": payload, "payload_bytes": length}
 
 
+def measured(r: dict) -> tuple[int, str]:
+    """Length and digest of a parsed record's payload: of a response from the payload itself, which the
+    headers must agree with; of a revisit, which has none, from the headers."""
+    length, digest = r["payload_bytes"], r["WARC-Payload-Digest"].removeprefix("sha1:")
+    if r["WARC-Type"] == "response":
+        found = len(r["payload"]), payload_digest(r["payload"])
+        if found != (length, digest):
+            raise ValueError(f"{r['WARC-Record-ID']}: payload of {found[0]} bytes, sha1:{found[1]}; the headers say {length}, sha1:{digest}")
+    return length, digest
+
+
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
@@ -245,8 +256,9 @@ def read(captures: DataFrame) -> DataFrame:
                     name, file = archive, fs.open_input_file(path)
                 file.seek(offset)
                 r = parsed(gzip.decompress(file.read(length)))
+                payload_bytes, digest = measured(r)
                 page, ref = r.get("X-Page-ID"), r.get("X-Refers-To-Page")
-                rows.append((page and int(page), r["WARC-Target-URI"], r["payload"], r["payload_bytes"], r["WARC-Payload-Digest"].removeprefix("sha1:"), r["WARC-Type"], ref and int(ref)))
+                rows.append((page and int(page), r["WARC-Target-URI"], r["payload"], payload_bytes, digest, r["WARC-Type"], ref and int(ref)))
             yield pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     ordered = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")

@@ -446,3 +446,18 @@ def test_warc_round_trip_and_lookup(spark):
     want = {i for i in range(500) if f"http://h{i % 7}.org/p{i % 50}" in wanted}
     assert {r["page_id"] for r in got} == want
     assert warc.url_key("http://www.A.org:80/X?y") == "org,a,www)/x?y"
+
+
+def test_warc_measures_the_payload_it_reads(spark, tmp_path):
+    import gzip
+
+    good = warc.record(1, "http://a.org/", b"payload", None, "2024-01-01T00:00:00Z")
+    revisit = warc.record(2, "http://a.org/", b"payload", 1, "2024-01-01T00:00:00Z")
+    assert warc.measured(warc.parsed(good)) == warc.measured(warc.parsed(revisit)) == (7, warc.payload_digest(b"payload"))
+    for wrong in (good.replace(b"payload\r\n", b"pay1oad\r\n"), good.replace(b"Content-Length: 7", b"Content-Length: 6")):
+        assert wrong != good
+        member = gzip.compress(wrong)
+        (tmp_path / "a.warc.gz").write_bytes(member)
+        capture = spark.createDataFrame([("a", 1, "http://a.org/", f"{tmp_path}/a.warc.gz", 0, len(member))], warc.CAPTURE)
+        with pytest.raises(Exception, match="the headers say"):
+            warc.read(capture).collect()
