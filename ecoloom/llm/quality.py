@@ -121,6 +121,11 @@ class Model:
         return self.features(stats) @ self.coefficients
 
 
+def gathered(parts: DataFrame) -> DataFrame:
+    """Rows of all partitions in four, behind a shuffle: a bare coalesce would make the parts in four tasks too."""
+    return parts.repartition(4)
+
+
 def fit(labelled: DataFrame, n_features: int = 256, gamma: float = 0.03, ridge: float = 1e-3, seed: int = 7) -> Model:
     """labelled: stats array<double>, label int, calibrate boolean. gamma: of exp(-gamma * |x - y|^2)."""
     d = N_STATISTICS
@@ -164,7 +169,7 @@ def fit(labelled: DataFrame, n_features: int = 256, gamma: float = 0.03, ridge:
 
     schema = "slot int, n long, gram binary, moment binary"
     parts = labelled.filter(~F.col("calibrate")).select("stats", "label").mapInPandas(normal_equations, schema)
-    sums = parts.coalesce(4).mapInPandas(add, schema).collect()  # one matrix a partition, at most four to the driver
+    sums = gathered(parts).mapInPandas(add, schema).collect()  # one matrix a partition, at most four to the driver
     if sums:
         m = n_features + 1
         gram = sum(np.frombuffer(r["gram"]).reshape(m, m) for r in sums)

@@ -461,3 +461,16 @@ def test_warc_measures_the_payload_it_reads(spark, tmp_path):
         capture = spark.createDataFrame([("a", 1, "http://a.org/", f"{tmp_path}/a.warc.gz", 0, len(member))], warc.CAPTURE)
         with pytest.raises(Exception, match="the headers say"):
             warc.read(capture).collect()
+
+
+def test_quality_builds_its_matrices_in_every_partition(spark):
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def where(batches):
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"task": [TaskContext.get().partitionId()]})
+
+    made = quality.gathered(spark.range(0, 80, 1, 8).mapInPandas(where, "task int"))
+    assert {r["task"] for r in made.collect()} == set(range(8)) and made.rdd.getNumPartitions() <= 4
