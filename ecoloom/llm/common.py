@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied and filled anew.
 CACHED_WORDS = 200_000
 
 
+#: Types of the columns that computed() adds.
+ARROW = {
+    "int": pa.int32(),
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """This application's part of the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where the session names none, an error; only in local mode, where driver and executors are one process,
+    a folder of this machine.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "/tmp/checkpoints/ecoloom"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/ecoloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables, archives and indexes that this application has in the shared folder. Call it when
+    the results have been written elsewhere."""
+    folder = shared_dir(spark)
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    if fs.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+        fs.delete_dir(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,9 +63,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identified(df: DataFrame) -> DataFrame:
-    """df, stored, with a column `row` that no two rows share, whatever their ids are."""
-    return stored(df.withColumn("row", F.monotonically_increasing_id()), "identified")
+def computed(df: DataFrame, keep: list[str], new: dict[str, str], start: Callable) -> DataFrame:
+    """The columns `keep` of df as they are, and the columns `new` (name -> a type of ARROW).
+
+    start() is called once a task; the function that it returns makes the new columns' values, in their
+    order, from a batch of df. Kept columns never leave Arrow, so long ids beside nulls stay exact.
+    """
+
+    def run(batches):
+        make = start()
+        for b in batches:
+            if b.num_rows:
+                values = [pa.array(v, ARROW[t]) for v, t in zip(make(b), new.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *values], names=[*keep, *new])
+
+    fields = [df.schema[c] for c in keep] + StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in new.items())).fields
+    return df.mapInArrow(run, StructType(fields))
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str | None]:
+    return batch.column("text").to_pylist()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def identified(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, stored, with a column that no two rows share, whatever their ids are; and that column's name."""
+    row = fresh(df, "row")
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "identified"), row
 
 
 def learned_from(id_col: str, modulus: int, held_out: int) -> Column:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import learned_from
+from ecoloom.llm.common import computed, learned_from, texts_of
 
 _BLANK = 32
 _BITS = np.uint64(21)
@@ -102,10 +102,10 @@ def identify(docs: DataFrame, max_documents: int = 20_000, top: int = 400, id_co
         tables.append((grams[order], order.astype(np.int64)))
     shared = docs.sparkSession.sparkContext.broadcast(tables)  # languages x top numbers
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def predict():
+        def of(batch):
             preds, scores = [], []
-            for text in pdf["text"]:
+            for text in texts_of(batch):
                 grams = ranked(ngrams(text), top)
                 if not len(grams) or not shared.value:
                     preds.append("und")
@@ -121,7 +121,9 @@ def identify(docs: DataFrame, max_documents: int = 20_000, top: int = 400, id_co
                 second = min((d for i, d in enumerate(distances) if i != best), default=top * len(grams))
                 preds.append(languages[best])
                 scores.append(second / (first + second) if first + second else 0.5)
-            yield pd.DataFrame({"id": pdf["id"], "lang_pred": preds, "score": scores})
+            return preds, scores
+
+        return of
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "text").mapInPandas(predict, f"id {id_type}, lang_pred string, score double").select(F.col("id").alias(id_col), (~learned_from("id", 5, 0)).alias("held_out"), "lang_pred", "score")
+    scored = computed(rows.select("id", "text"), ["id"], {"lang_pred": "string", "score": "double"}, predict)
+    return scored.select(F.col("id").alias(id_col), (~learned_from("id", 5, 0)).alias("held_out"), "lang_pred", "score")

@@ -26,15 +26,13 @@ id never becomes a group's name while another id is there. Columns beside id and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import WordHashes, hashes_of, shingle_hashes, stored, words_of
+from ecoloom.llm.common import WordHashes, computed, hashes_of, shingle_hashes, stored, texts_of, words_of
 
 
 def shingle_set(text: str | None, known: WordHashes, width: int) -> np.ndarray:
@@ -44,34 +42,36 @@ def shingle_set(text: str | None, known: WordHashes, width: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     """docs(id, text) -> id, n_shingles, node (128-bit digest of the set; null when empty), sketch."""
-    id_type = docs.schema["id"].dataType.simpleString()
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe():
         known = WordHashes()
-        for pdf in batches:
-            sets = [shingle_set(t, known, width) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "node": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "sketch": [s[:k] for s in sets],
-                }
-            )
 
-    return docs.mapInPandas(describe, f"id {id_type}, n_shingles long, node binary, sketch array<long>")
+        def of(batch):
+            sets = [shingle_set(t, known, width) for t in texts_of(batch)]
+            return [len(s) for s in sets], [node_of(s) for s in sets], [s[:k] for s in sets]
+
+        return of
+
+    return computed(docs, ["id"], {"n_shingles": "long", "node": "binary", "sketch": "array<long>"}, describe)
+
+
+def node_of(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh128_digest(shingles.tobytes()) if len(shingles) else None
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """texts(id, text) -> node, shingles; the node is computed anew, so an id with several texts does no harm."""
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe():
         known = WordHashes()
-        for pdf in batches:
-            sets = [shingle_set(t, known, width) for t in pdf["text"]]
-            yield pd.DataFrame({"node": [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], "shingles": sets})
 
-    return texts.select("text").mapInPandas(describe, "node binary, shingles array<long>")
+        def of(batch):
+            sets = [shingle_set(t, known, width) for t in texts_of(batch)]
+            return [node_of(s) for s in sets], sets
+
+        return of
+
+    return computed(texts.select("text"), [], {"node": "binary", "shingles": "array<long>"}, describe)
 
 
 def slack(j: float, k: int, sigmas: float) -> float:
@@ -174,8 +174,8 @@ def deduplicate(
     alike = stored(screened(nodes.select("node", "sketch"), j, k, sigmas), "screened")
 
     # the full set of each node left, from one text that has it
-    holders = nodes.select("node", F.col("least").alias("holder")).join(alike, "node", "left_semi")
-    texts = rows.join(holders, F.col("id").eqNullSafe(F.col("holder"))).select("id", "text")
+    holders = nodes.join(alike, "node", "left_semi").select(F.col("least").alias("holder")).distinct()
+    texts = rows.join(holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")
     sets = stored(full_sets(texts, width).join(alike, "node", "left_semi").dropDuplicates(["node"]), "sets")
     near = sets.select("node", F.size("shingles").alias("n"), F.slice("shingles", 1, k_wide).alias("sketch"))
     lists = stored(postings(near, j, k_wide, sigmas), "postings")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import calibrated, calibration, learned_from, stored, words_of
+from ecoloom.llm.common import calibrated, calibration, computed, learned_from, stored, texts_of, words_of
 
 CLASSES = 8
 _RUNS = re.compile(r"([^\w\s])\1{1,}")
@@ -92,15 +92,9 @@ N_STATISTICS = CLASSES + 14
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """id, stats array<double> for every row; and row, if row_col (a long) is given."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-
     kept = [F.col(row_col).alias("row")] if row_col else []
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.drop(columns="text").assign(stats=[statistics(t) for t in pdf["text"]])
-
-    return docs.select(F.col(id_col).alias("id"), *kept, F.col(text_col).alias("text")).mapInPandas(describe, f"id {id_type}, {'row long, ' if kept else ''}stats array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), *kept, F.col(text_col).alias("text"))
+    return computed(rows, rows.columns[:-1], {"stats": "array<double>"}, lambda: lambda b: [[statistics(t) for t in texts_of(b)]])
 
 
 @dataclass
@@ -185,17 +179,18 @@ def fit(labelled: DataFrame, n_features: int = 256, gamma: float = 0.03, ridge:
 
 def scored(stats: DataFrame, model: Model, out: str, keep: list[str]) -> DataFrame:
     """Adds `out` (uncalibrated when it is called raw) to the columns `keep`."""
-    fields = ", ".join(f"{c} {stats.schema[c].dataType.simpleString()}" for c in keep)
     shared = stats.sparkSession.sparkContext.broadcast(model)  # its size is fixed by n_features
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score():
         m = shared.value
-        for pdf in batches:
-            if len(pdf):
-                raw = m.raw(np.array(pdf["stats"].tolist()))
-                yield pdf[keep].assign(**{out: raw if out == "raw" else calibrated(raw, m.knots)})
 
-    return stats.select(*keep, "stats").mapInPandas(score, f"{fields}, {out} double")
+        def of(batch):
+            raw = m.raw(np.array(batch.column("stats").to_pylist()))
+            return [raw if out == "raw" else calibrated(raw, m.knots)]
+
+        return of
+
+    return computed(stats.select(*keep, "stats"), keep, {out: "double"}, score)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
