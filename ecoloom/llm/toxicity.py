@@ -2,8 +2,8 @@
 
 Terms are words and their prefixes of 5 and 7 characters (toxic stems carry free endings in some
 languages), and "the term occurs twice at least" and "three times at least" are terms of their own. From a
-bounded sample of labelled rows the terms that a chi-square test ties to the label
-are kept; documents are compared by TF-IDF over these. The examples stand in blocks; for every term the
+bounded sample of labelled rows every term is kept that a chi-square test ties to the label, at 5 % over all
+terms tested (Bonferroni); documents are compared by TF-IDF over these. The examples stand in blocks; for every term the
 index keeps each block's postings and its greatest weight. Blocks are visited in the order of their
 upper bounds until the bound is at or below the k-th best similarity, so the neighbours are exact.
 
@@ -21,13 +21,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import CACHED_WORDS, calibrated, calibration, learned_from, stored
+from ecoloom.llm.common import CACHED_WORDS, calibrated, calibration, computed, learned_from, stored, texts_of
 
 _WORD = re.compile(r"\w+")
 PREFIXES = (5, 7)
@@ -141,10 +142,12 @@ class Index:
         return float(near[0][0] * (w @ y) / w.sum())
 
 
-def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[str]:
-    """The at most max_terms terms with the greatest chi-square against the label, by documents.
+def kept_terms(examples: DataFrame, significance: float) -> list[str]:
+    """The terms tied to the label by a chi-square test over documents, best first; `significance` holds for all
+    terms together. Equal texts of one label count once, so a group of copies makes no term significant.
 
-    Of terms that are each other's prefix and stand in as many documents, the longest is kept.
+    Of terms that are each other's prefix and stand in as many documents, the longest is kept. The sample is
+    bounded, and with it the number of its terms.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +161,8 @@ def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[s
         names = sorted(seen[0].keys() | seen[1].keys())
         yield pd.DataFrame({"term": ["", *names], "n0": [rows[0], *(seen[0][t] for t in names)], "n1": [rows[1], *(seen[1][t] for t in names)]})
 
-    sums = examples.select("text", "label").mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 2 or term = ''")
+    sums = examples.select("text", "label").distinct().mapInPandas(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 > 2 or term = ''")
+    sums = stored(sums, "toxicity-terms")
     total = sums.filter("term = ''").first()
     if not total or not total["n0"] or not total["n1"]:
         return []
@@ -166,7 +170,8 @@ def kept_terms(examples: DataFrame, max_terms: int, least_chi2: float) -> list[s
     n = n0 + n1
     odds = a * (n0 - b) - b * (n1 - a)
     chi2 = n * odds * odds / ((a + b) * (n - a - b + 1e-9) * n0 * n1)
-    best = sums.filter("term != ''").withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), F.length("term").desc(), "term").limit(max_terms).collect()
+    least = NormalDist().inv_cdf(1 - significance / max(1, sums.count() - 1) / 2) ** 2
+    best = sums.filter("term != ''").withColumn("chi2", chi2).filter(F.col("chi2") >= least).orderBy(F.desc("chi2"), F.length("term").desc(), "term").collect()
     kept: list[str] = []
     stems: dict[tuple, list[str]] = {}
     for r in best:
@@ -185,8 +190,7 @@ def score_documents(
     k: int = 9,
     max_labelled: int = 8_000,
     max_examples: int = 3_000,
-    max_terms: int = 1_500,
-    least_chi2: float = 35.0,
+    significance: float = 0.05,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -201,18 +205,22 @@ def score_documents(
     known = labels.select(F.col(id_col).alias("known"), F.col(label_col).cast("int").alias("label")).filter("known is not null and label in (0, 1)").filter(learned_from("known", 4, 2))
     chosen = known.withColumn("h", F.xxhash64("known")).orderBy("h", "known", "label").limit(max_labelled)
     sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("known"))  # max_labelled rows of numbers
+    sample = sample.orderBy("h", "id", "label", F.xxhash64("text")).limit(max_labelled)  # an id may stand in many rows
     sample = stored(sample.select("id", "text", "label", "h").repartition(SAMPLE_TASKS), "toxicity-sample")
-    vocabulary = {t: i for i, t in enumerate(kept_terms(sample, max_terms, least_chi2))}
+    vocabulary = {t: i for i, t in enumerate(kept_terms(sample, significance))}
     words = spark.sparkContext.broadcast(vocabulary)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors():
         ids = TermIds(words.value)
-        for pdf in batches:
-            counts = [term_counts(t, ids) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "h": pdf["h"], "terms": [[t for t, _ in c] for c in counts], "counts": [[n for _, n in c] for c in counts]})
+
+        def of(batch):
+            counts = [term_counts(t, ids) for t in texts_of(batch)]
+            return [[t for t, _ in c] for c in counts], [[n for _, n in c] for c in counts]
+
+        return of
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    learnt = sample.select("id", "text", "label", "h").mapInPandas(vectors, f"id {id_type}, label int, h long, terms array<int>, counts array<int>").orderBy("h", "id", "label").collect()  # max_labelled short vectors
+    learnt = computed(sample, ["id", "label", "h"], {"terms": "array<int>", "counts": "array<int>"}, vectors).orderBy("h", "id", "label", "terms", "counts").collect()  # max_labelled short vectors
     vectors_of = [(r["id"], r["label"], tuple(zip(r["terms"], r["counts"], strict=True))) for r in learnt]
     with_terms = [i for i, v in enumerate(vectors_of) if v[2]]
     cut = with_terms[min(max_examples, (2 * len(with_terms) + 2) // 3) - 1] + 1 if with_terms else 0
@@ -220,29 +228,32 @@ def score_documents(
     rest = vectors_of[cut:] or vectors_of
     raw = [(float(index.vote(index.nearest(c, k, i))), int(y)) for i, y, c in rest]
     knots = calibration(spark.createDataFrame(raw, "raw double, label int"), "raw", "label") if raw else (np.array([0.0, 1.0]), np.array([0.5, 0.5]))
-    model = spark.sparkContext.broadcast((index, knots))  # bounded by max_examples and max_terms
+    model = spark.sparkContext.broadcast((index, knots))  # bounded by max_labelled texts' terms and max_examples
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score():
         idx, fitted = model.value
         ids, found = TermIds(idx.vocabulary), {}
-        for pdf in batches:
+
+        def of(batch):
             votes, evidence = [], []
-            for text in pdf["text"]:
+            for text in texts_of(batch):
                 counts = term_counts(text, ids)
                 if counts not in found:
                     if len(found) >= 50_000:
                         found.clear()
                     near = idx.nearest(counts, k)
-                    found[counts] = idx.vote(near), [idx.example_ids[i] for _, i in near]
+                    found[counts] = idx.vote(near), [str(idx.example_ids[i]) for _, i in near]
                 vote, ids_near = found[counts]
                 votes.append(vote)
                 evidence.append(ids_near)
-            yield pd.DataFrame({"id": pdf["id"], "score": calibrated(np.array(votes, float), fitted), "evidence": evidence})
+            return calibrated(np.array(votes, float), fitted), evidence
+
+        return of
 
-    return rows.mapInPandas(score, f"id {id_type}, score double, evidence array<{id_type}>").select(
+    return computed(rows, ["id"], {"score": "double", "evidence": "array<string>"}, score).select(
         F.col("id").alias(id_col),
         (~learned_from("id", 4, 2)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "evidence",
+        F.col("evidence").cast(f"array<{id_type}>").alias("evidence"),
     )
