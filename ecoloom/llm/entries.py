@@ -36,8 +36,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    ordered = mixing.in_order(mixing.mix(_read(spark, sf_dir, "documents")))
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "position", "position_again")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +89,23 @@ l as (select *,
         / (sum(weight) over () - coalesce(sum(weight) over (order by ratio, rank rows between unbounded preceding and 1 preceding), 0.0::double)) as level
       from o),
 h as (select arg_min(level, rn) as held from (select level, row_number() over (order by ratio, rank) as rn from l where level < ratio)),
-t as (select source, source_size, case when held is null then cap else least(cap, held * weight) end as target from l, h),
+t as (
+  select source, source_size, case when held is null then cap else least(cap, held * weight) end as target,
+         [1.5, 1.0, 0.5][(rank % 3 + 1)::int]::double as weight_from, [0.5, 1.0, 1.5][(rank % 3 + 1)::int]::double as weight_to
+  from l, h),
 c as (
-  select d.*, t.source_size, t.target,
+  select d.*, t.source_size, t.target, weight_from, (weight_to - weight_from) / 2 as half,
          coalesce(sum(size) over (partition by d.source order by digest, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start_at
   from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::bigint - start_at)) + greatest(0, least(size, floor(target)::bigint - start_at - source_size)))::bigint as taken
-from c
+w1 as (select *, greatest(0, least(size, floor(target)::bigint - start_at)) as one, greatest(0, least(size, floor(target)::bigint - start_at - source_size)) as two from c),
+s1 as (select *, start_at / greatest(1.0::double, target) as share_1, (start_at + source_size) / greatest(1.0::double, target) as share_2 from w1),
+a1 as (select *, share_1 * (weight_from + half) as area_1, share_2 * (weight_from + half) as area_2 from s1)
+select doc_id, size, source_size, target, (one + two)::bigint as taken,
+       case when one = 0 then null when share_1 <= 0 then 0.0 when share_1 >= 1 then 1.0 when abs(half) < 1e-12 then share_1
+            else 2 * area_1 / (weight_from + sqrt(greatest(0.0, weight_from * weight_from + 4 * half * area_1))) end as position,
+       case when two = 0 then null when share_2 <= 0 then 0.0 when share_2 >= 1 then 1.0 when abs(half) < 1e-12 then share_2
+            else 2 * area_2 / (weight_from + sqrt(greatest(0.0, weight_from * weight_from + 4 * half * area_2))) end as position_again
+from a1
 """,
     "op4_decontamination": r"""
 with d as (

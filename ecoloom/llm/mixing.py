@@ -6,22 +6,28 @@ time; its integral says what share of the source's words is due by then. A docum
 a given point of the source's cumulative demand is placed where that integral reaches the point, so
 sorting by position gives the order of training.
 
-Within a source documents stand in the order of md5(id), then id. The running sum is taken in two
-levels (buckets by the hash's first digits, then inside a bucket), so a source with a third of all rows
-is still spread over many tasks. The last document is taken in part, so each source meets its target to
-the word.
+Within a source documents stand in the order of md5(id) (of a hash of the text where the id is null), id,
+a hash of the text. The running sum is
+taken in two levels (buckets of about BUCKET_ROWS by the hash's first digits, then inside a bucket), so a
+source with a third of all rows is still spread over many tasks. The last document is taken in part, so
+each source meets its target to the word.
 
 Defined results: a null text has size 0; null is a source of its own, last; rows with equal ids are
-mixed as separate rows (in any order among equals, with the same sum). Other columns are not touched.
+mixed as separate rows, and only rows equal in id and text are interchangeable, so reruns agree whatever
+order the rows come in. A document of which nothing is taken has no copies. Ids may be of any type.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecoloom.llm.common import identified
 
+#: Documents of a bucket, about.
+BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,19 +74,22 @@ def mix(
     row_col: str | None = None,
 ) -> DataFrame:
     """One row a document: id, source, size, source_size, target, taken, copies; and row_col, if given, which
-    also orders rows of equal ids.
+    also orders rows of equal ids and texts.
 
     copies: array of (copy, words, position), one for each pass over the source that takes some of the
     document. weights and schedules (weight at the start and at the end of training) go to the sources in
     order of name, repeating.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
-    rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("digest", 1, 3))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), *([F.col(row_col).alias("row")] if row_col else []))
+    digits = max(1, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
+    named = F.coalesce(F.col("id").cast("string"), F.col("tie").cast("string"))  # rows without id are spread by their text
+    rows = rows.withColumn("digest", F.md5(named.cast("binary"))).withColumn("bucket", F.substring("digest", 1, digits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), list(weights), share, float(repeat))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset")
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "tie", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(starts, rows.source.eqNullSafe(F.col("s")) & (rows.bucket == F.col("b"))).drop("s", "b")
     t = targets.withColumnRenamed("source", "s")
@@ -100,10 +109,19 @@ def mix(
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "copies", *([F.col("row").alias(row_col)] if row_col else []))
 
 
+def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of mix() with position and position_again (of the first and the second copy; null where there is
+    none), range-partitioned and sorted by position; documents that are not taken come last."""
+    at = lambda i: F.get(F.col("copies"), F.lit(i))["position"]
+    order = (F.col("position").asc_nulls_last(), F.col(id_col))
+    return mixed.withColumn("position", at(0)).withColumn("position_again", at(1)).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def scheduled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus in training order: the rows of docs, once for each copy taken, with copy, words and
-    position, range-partitioned and sorted by position."""
-    rows = identified(docs)  # ids may be null or repeated
-    plan = mix(rows, id_col=id_col, row_col="row", **options).select("row", F.explode("copies").alias("c"))
-    plan = plan.select("row", F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
-    return rows.join(plan, "row").drop("row").repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")
+    """The mixed corpus in training order: the rows of docs, once for each copy taken, with mix_copy, mix_words
+    and mix_position, range-partitioned and sorted by position. Columns of docs with these three names are
+    replaced."""
+    rows, row = identified(docs.drop("mix_copy", "mix_words", "mix_position"))  # ids may be null or repeated
+    plan = mix(rows, id_col=id_col, row_col=row, **options).select(row, F.explode("copies").alias("c"))
+    plan = plan.select(row, F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
+    return rows.join(plan, row).drop(row).repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")
