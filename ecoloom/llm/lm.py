@@ -6,34 +6,41 @@ training documents is taken out of all counts ("deleted"), and its tokens are pr
 The final scores use the counts of all training documents. The sequence is the words and one end; the
 context of the first token is a start.
 
-Counts are not joined to documents row by row. Documents are cut into units (ranges of ids of some
-megabytes). Every unit asks once for each of its distinct unigrams and bigrams, with its own counts;
-the asked keys are dealt by hash range to buckets that sum them over all units and answer every unit in
-key order, so an answer needs no keys. A key that a third of all documents use is asked once by each
-flush of a unit, like any other, and a unit's answer is as large as its own text.
-
-Defined results: a null or empty text is the end alone. Rows with equal ids are separate documents. With
-nothing to learn from, N = V = 0 and every token has probability 1.
+Counts are not joined to documents row by row. Documents are cut into units, as they lie in the input,
+and stored with the unit's number. Every unit asks once for each of its distinct unigrams and bigrams, with
+its own counts; the asked keys are dealt by hash range to buckets that sum them over all units and answer
+every unit in key order, so an answer needs no keys. A key that a third of all documents use is asked once by
+each unit, like any other, and a unit's answer is as large as its own text. Units and buckets both grow with
+the square root of the corpus, so that the messages between them grow in proportion to it; from MOST_UNIT on
+units stay as they are, and messages get smaller, down to one key.
+
+Defined results: a null or empty text is the end alone. Rows with equal ids are separate documents; ids may
+be of any type. With nothing to learn from, N = V = 0 and every token has probability 1.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ecoloom.llm.common import WordHashes, hashes_of, learned_from, mixed, stored, words_of
+from ecoloom.llm.common import WordHashes, computed, hashes_of, learned_from, mixed, stored, texts_of, words_of
 
 #: Hashes of the end token and of the start context; no word hashes to exactly these but by accident of 2^-64.
 END, START = np.uint64(0x8E5D1C3A97F04B26), np.uint64(0x1B7F3E9D5C82A640)
-UNIT_CHARS = 3_000_000
-FLUSH_TOKENS = 1_000_000
-BUCKET_KEYS = 600_000
+#: Bytes of text of a unit: UNIT_ROOT times the root of all bytes, between these two. A worker holds one unit.
+UNIT_ROOT, LEAST_UNIT, MOST_UNIT = 100, 200_000, 24_000_000
+#: Bytes of text that a task works through, about.
+TASK_BYTES = 16_000_000
 STEP = 0.05  # of log10 in the histogram that expectation-maximisation works on
 
 
@@ -47,8 +54,28 @@ def bigrams(unigrams: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + unigrams)
 
 
-def asked(docs: DataFrame, n_buckets: int, unit_of: Callable) -> DataFrame:
-    """docs(id, spare, deleted, train, text) -> kind, bucket, units, sizes, keys, counts: packed requests."""
+def in_units(rows: DataFrame, unit_bytes: int) -> DataFrame:
+    """rows(text, deleted, ...), stored with `unit`: runs of rows of about unit_bytes, deleted ones (odd numbers)
+    and others (even numbers) apart."""
+
+    def cut():
+        task, filled = TaskContext.get().partitionId(), 0
+
+        def of(batch):
+            nonlocal filled
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8
+            ends = filled + np.cumsum(sizes)
+            filled = int(ends[-1])
+            run = (task << 32) + (ends - sizes) // unit_bytes
+            return [2 * run + batch.column("deleted").to_numpy(zero_copy_only=False)]
+
+        return of
+
+    return stored(computed(rows, rows.columns, {"unit": "long"}, cut), "lm-units")
+
+
+def asked(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """docs(unit, train, text) -> kind, bucket, units, sizes, keys, counts: packed requests."""
     edges = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
 
     def pack(held: dict) -> pd.DataFrame:
@@ -57,41 +84,40 @@ def asked(docs: DataFrame, n_buckets: int, unit_of: Callable) -> DataFrame:
             for kind in (1, 2):
                 keys, counts = np.unique(np.concatenate([p[kind - 1] for p in parts]), return_counts=True)
                 counts = counts.astype(np.uint32) if train else np.zeros(len(keys), np.uint32)
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                for b in range(n_buckets):
-                    if cuts[b] < cuts[b + 1]:
-                        slots[kind, b].append((unit, keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]))
+                bucket = np.searchsorted(edges, keys, side="right")
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                    slots[kind, int(bucket[lo])].append((unit, keys[lo:hi], counts[lo:hi]))
         rows = []
         for (kind, b), parts in slots.items():
-            units, sizes = np.array([p[0] for p in parts], np.int32), np.array([len(p[1]) for p in parts], np.int32)
+            units, sizes = np.array([p[0] for p in parts], np.int64), np.array([len(p[1]) for p in parts], np.int32)
             rows.append((kind, b, units.tobytes(), sizes.tobytes(), np.concatenate([p[1] for p in parts]).tobytes(), np.concatenate([p[2] for p in parts]).tobytes()))
         return pd.DataFrame(rows, columns=["kind", "bucket", "units", "sizes", "keys", "counts"])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, n = WordHashes(), defaultdict(list), 0
+        known, held, run = WordHashes(), defaultdict(list), None
         for pdf in batches:
-            units = unit_of(pdf["id"], pdf["spare"], pdf["deleted"])
-            for unit, train, text in zip(units, pdf["train"], pdf["text"], strict=True):
+            for unit, train, text in zip(pdf["unit"].tolist(), pdf["train"].tolist(), pdf["text"], strict=True):
+                if unit // 2 != run:
+                    if held:
+                        yield pack(held)
+                    held, run = defaultdict(list), unit // 2
                 one = tokens(text, known)
-                held[int(unit), bool(train)].append((one, bigrams(one)))
-                n += len(one)
-                if n >= FLUSH_TOKENS:
-                    yield pack(held)
-                    held, n = defaultdict(list), 0
-        if n:
+                held[unit, train].append((one, bigrams(one)))
+        if held:
             yield pack(held)
 
-    return docs.select("id", "spare", "deleted", "train", "text").mapInPandas(ask, "kind int, bucket int, units binary, sizes binary, keys binary, counts binary")
+    return docs.select("unit", "train", "text").mapInPandas(ask, "kind int, bucket int, units binary, sizes binary, keys binary, counts binary")
 
 
-def answered(requests: DataFrame) -> DataFrame:
+def answered(requests: DataFrame, parts: int) -> DataFrame:
     """unit, kind, bucket, totals, deleted: for a unit's sorted distinct keys of the bucket, the counts over
     all training documents and over the deleted ones (units with odd numbers). Unit -1 has, in totals, the
     bucket's distinct keys with a count, the sum of counts, and the sum of deleted counts."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        units = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["units"]])
+        units = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["units"]])
         sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
@@ -112,7 +138,8 @@ def answered(requests: DataFrame) -> DataFrame:
             rows.append((unit, kind, bucket, total[at].tobytes(), deleted[at].astype(np.int64).tobytes() if unit % 2 else b""))
         return pd.DataFrame([(u, n, b, _packed(t), _packed(d)) if u >= 0 else (u, n, b, t, d) for u, n, b, t, d in rows], columns=["unit", "kind", "bucket", "totals", "deleted"])
 
-    return requests.groupBy("kind", "bucket").applyInPandas(answer, "unit int, kind int, bucket int, totals binary, deleted binary")
+    dealt = requests.repartition(parts, "kind", "bucket").groupBy("kind", "bucket")
+    return dealt.applyInPandas(answer, "unit long, kind int, bucket int, totals binary, deleted binary")
 
 
 def _packed(longs: bytes) -> bytes:
@@ -130,9 +157,9 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 class Unit:
     """Tokens of a unit's documents, with the counts that its answers give."""
 
-    def __init__(self, docs: pd.DataFrame, answers: pd.DataFrame, n_buckets: int):
-        known = WordHashes()
-        lists = [tokens(t, known) for t in docs["text"]]
+    def __init__(self, docs: pa.Table, answers: pa.Table, n_buckets: int):
+        known, answers = WordHashes(), answers.to_pandas()
+        lists = [tokens(t, known) for t in texts_of(docs)]
         self.lengths = np.array([len(x) for x in lists])
         self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
         one = np.concatenate(lists)
@@ -194,59 +221,56 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the deleted ones.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).first()
-    n_units = int(max(1, (size["chars"] or 0) // UNIT_CHARS, size["n"] // 20_000))
-    n_buckets = int(max(1, (size["chars"] or 0) // 5 // BUCKET_KEYS))
-    cuts = rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / n_units for i in range(1, n_units)], 0.05 / n_units) if n_units > 1 else []
-    edges = np.unique(np.array(cuts, dtype=float))
-
-    def unit_of(ids: pd.Series, spare: pd.Series, deleted: pd.Series) -> pd.Series:
-        values = ids.astype("float64").to_numpy()
-        ranges = np.where(np.isnan(values), spare % (len(edges) + 1), np.searchsorted(edges, values))
-        return pd.Series(2 * ranges + deleted.to_numpy(), dtype="int32")
-
-    train = learned_from("id", 10, 0)
-    deleted = train & (F.pmod(F.xxhash64("id", "text"), F.lit(10)) == 0)
-    spare = F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int")
-    marked = rows.select("id", "text", train.alias("train"), deleted.alias("deleted"), spare.alias("spare"))
-    placed = marked.withColumn("unit", F.pandas_udf(unit_of, "int")("id", "spare", "deleted"))
-    answers = stored(answered(asked(marked, n_buckets, unit_of)), "lm-answers")
+    text = F.col(text_col)
+    train = learned_from(id_col, 10, 0)
+    deleted = train & (F.pmod(F.xxhash64(F.col(id_col), text), F.lit(10)) == 0)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), train.alias("train"), deleted.alias("deleted"))
+    n_bytes = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    unit_bytes = int(min(max(UNIT_ROOT * math.sqrt(n_bytes), LEAST_UNIT), MOST_UNIT))
+    n_buckets = max(1, n_bytes // unit_bytes)
+    parts = max(1, n_bytes // TASK_BYTES, min(n_buckets, spark.sparkContext.defaultParallelism))
+    placed = in_units(rows, unit_bytes)
+    answers = stored(answered(asked(placed, n_buckets), parts), "lm-answers")
     stats = [np.frombuffer(r["totals"], np.int64) for r in answers.filter("unit = -1 and kind = 1").select("totals").collect()]  # a row a bucket
     vocabulary, total, total_deleted = (int(sum(s[i] for s in stats)) for i in range(3))
     uniform = 1 / (vocabulary + 1)
-    own = answers.filter("unit >= 0")
+    own = answers.filter("unit >= 0").select("unit", "kind", "bucket", "totals", "deleted")
 
-    def histogram(key: tuple, unit_docs: pd.DataFrame, unit_answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(unit_docs):
-            return pd.DataFrame({"bucket": [], "two": [], "one": [], "n": []}).astype("int64")
+    def histogram(unit_docs: pa.Table, unit_answers: pa.Table) -> pa.Table:
+        names = ["bucket", "two", "one", "n"]
+        if not unit_docs.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         u = Unit(unit_docs, unit_answers, n_buckets)
         context = u.contexts(u.c - u.c_deleted)
         p2 = ratio(u.pair - u.pair_deleted, context)
         p1 = ratio(u.c - u.c_deleted, total - total_deleted)
         step = lambda p: np.where(p > 0, np.round(np.log10(np.maximum(p, 1e-300)) / STEP), -9999).astype(np.int64) + 10_000
         cells, n = np.unique((bucket_of(context) << 32) | (step(p2) << 16) | step(p1), return_counts=True)
-        return pd.DataFrame({"bucket": cells >> 32, "two": ((cells >> 16) & 0xFFFF) - 10_000, "one": (cells & 0xFFFF) - 10_000, "n": n})
+        return pa.table(dict(zip(names, (cells >> 32, ((cells >> 16) & 0xFFFF) - 10_000, (cells & 0xFFFF) - 10_000, n), strict=True)))
 
-    held = placed.filter("deleted").select("unit", "text").groupBy("unit").cogroup(own.filter("unit % 2 = 1").groupBy("unit"))
-    cells = held.applyInPandas(histogram, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    def by_unit(df: DataFrame):
+        return df.repartition(parts, "unit").groupBy("unit")
+
+    held = by_unit(placed.filter("deleted").select("unit", "text")).cogroup(by_unit(own.filter("unit % 2 = 1")))
+    cells = held.applyInArrow(histogram, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = learnt_weights(cells.toPandas(), uniform)  # cells are bounded by STEP, whatever the corpus
     shared = spark.sparkContext.broadcast(weights)
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def score(key: tuple, unit_docs: pd.DataFrame, unit_answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "n_tokens", "n_known", "base_score", "score"]
-        if not len(unit_docs):
-            return pd.DataFrame({c: [] for c in columns})
-        u, w = Unit(unit_docs, unit_answers, n_buckets), shared.value
-        context = u.contexts(u.c)
-        mix = w[bucket_of(context)]
-        p = mix[:, 0] * ratio(u.pair, context) + mix[:, 1] * ratio(u.c, total) + mix[:, 2] * uniform
-        base = np.log10((u.c + 0.1) / (total + 0.1 * (vocabulary + 1))) if total else np.zeros(len(u.c))
-        model = np.log10(p) if total else np.zeros(len(u.c))
-        by = lambda x: np.add.reduceat(x, u.starts)
-        return pd.DataFrame({"id": unit_docs["id"], "n_tokens": u.lengths, "n_known": by((u.c > 0).astype(np.int64)), "base_score": by(base), "score": by(model)})
-
-    every = placed.select("unit", "id", "text").groupBy("unit").cogroup(own.groupBy("unit"))
-    scored = every.applyInPandas(score, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
+
+    def score(unit_docs: pa.Table, unit_answers: pa.Table) -> pa.Table:
+        n_tokens, n_known, bases, models = ([], [], [], [])
+        if unit_docs.num_rows:
+            u, w = Unit(unit_docs, unit_answers, n_buckets), shared.value
+            context = u.contexts(u.c)
+            mix = w[bucket_of(context)]
+            p = mix[:, 0] * ratio(u.pair, context) + mix[:, 1] * ratio(u.c, total) + mix[:, 2] * uniform
+            base = np.log10((u.c + 0.1) / (total + 0.1 * (vocabulary + 1))) if total else np.zeros(len(u.c))
+            model = np.log10(p) if total else np.zeros(len(u.c))
+            by = lambda x: np.add.reduceat(x, u.starts)
+            n_tokens, n_known, bases, models = u.lengths, by((u.c > 0).astype(np.int64)), by(base), by(model)
+        new = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(models, pa.float64())}
+        return pa.table({"id": unit_docs.column("id")} | new)
+
+    every = by_unit(placed.select("unit", "id", "text")).cogroup(by_unit(own))
+    fields = [placed.schema["id"], *StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields]
+    scored = every.applyInArrow(score, StructType(fields))
     return scored.select(F.col("id").alias(id_col), (~learned_from("id", 10, 0)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
