@@ -12,7 +12,7 @@ range-reads and unpacks one block, and range-reads the records that it names.
 
 Defined results: a null html is an empty payload; a null url is the empty URL; a null page_id is kept as
 null and is never the page that others revisit while another one is there. Rows with equal ids are
-separate records; of equal payloads, all rows with the least id are responses.
+separate records; of equal payloads, all rows with the least id are responses. Ids are longs.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecoloom.llm.common import shared_dir, stored
 
+#: Bytes of records, and rows of index or keys, that a task works through, about.
+TASK_BYTES, TASK_ROWS = 32_000_000, 2_000_000
 CAPTURE = "urlkey string, page_id long, url string, archive string, offset long, length long"
 BLOCK_LINES = 1_000
 #: Rows of the top level that a task may hold; there is one an index file.
@@ -62,8 +65,27 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """The bytes of one WARC/1.1 record, not yet compressed."""
+def uri_of(url: str | None) -> str:
+    return quote(url or "", safe=_SAFE)
+
+
+def warcinfo(name: str, date: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: ecoloom\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Date: {date}",
+        f"WARC-Filename: {name.rsplit('/', 1)[-1]}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, refers_url: str | None = None) -> bytes:
+    """The bytes of one WARC/1.1 record, not yet compressed; a revisit also names the URL and date of its response."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
@@ -71,7 +93,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {quote(url or '', safe=_SAFE)}",
+        f"WARC-Target-URI: {uri_of(url)}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -79,7 +101,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {uri_of(refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -112,43 +134,54 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
-def _ints(values: pd.Series) -> list[int | None]:
-    return [None if pd.isna(v) else int(v) for v in values]
+def _batch(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.values(), strict=True)], names=list(fields))
+
+
+def tasks(spark: SparkSession, rows: int, size: int = 0) -> int:
+    """Partitions for so many rows and bytes: by size, and no fewer than the cluster has slots while there are
+    rows to share out."""
+    return max(1, size // TASK_BYTES, rows // TASK_ROWS, min(rows // 100, spark.sparkContext.defaultParallelism))
+
+
+_CAPTURE = {"urlkey": pa.string(), "page_id": pa.int64(), "url": pa.string(), "archive": pa.string(), "offset": pa.int64(), "length": pa.int64()}
+_READ = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
 
 
 def write(pages: DataFrame, folder: str, revisit_from: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives below folder and returns the captures (see CAPTURE)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
-    firsts = rows.filter(F.col("n") >= revisit_from).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("d", "first")
+    firsts = rows.filter(F.col("n") >= revisit_from).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     decided = rows.join(firsts, (F.col("digest") == F.col("d")) & (F.col("n") >= revisit_from), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
-    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, offset = None, f"{folder}/archive-{uuid.uuid4().hex}.warc.gz", 0
-        for pdf in batches:
+        for batch in batches:
             captures = []
-            for page, url, text, ref in zip(_ints(pdf["page_id"]), pdf["url"], pdf["html"], _ints(pdf["refers_to"]), strict=True):
+            for page, url, text, ref, ref_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     fs, path = _open(name)
                     fs.create_dir(path.rsplit("/", 1)[0])
                     out = fs.open_output_stream(path, compression=None)
-                member = gzip.compress(record(page, url, text.encode("utf-8", "surrogatepass"), ref, date), 4, mtime=0)
+                    offset = out.write(gzip.compress(warcinfo(name, date), 4, mtime=0))
+                member = gzip.compress(record(page, url, text.encode("utf-8", "surrogatepass"), ref, date, ref_url), 4, mtime=0)
                 out.write(member)
                 captures.append((url_key(url), page, url, name, offset, len(member)))
                 offset += len(member)
             if captures:
-                yield pd.DataFrame(captures, columns=["urlkey", "page_id", "url", "archive", "offset", "length"]).astype({"page_id": "Int64"})
+                yield _batch(captures, _CAPTURE)
         if out is not None:
             out.close()
 
-    return stored(decided.select("page_id", "url", "html", refers.alias("refers_to")).mapInPandas(archive, CAPTURE), "captures")
+    return stored(decided.select("page_id", "url", "html", refers.alias("refers_to"), "refers_url").mapInArrow(archive, CAPTURE), "captures")
 
 
 def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Writes the index files below folder; returns the top level: file, first, last, tail (bytes of its directory)."""
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, offset, lines, directory, last = None, f"{folder}/index-{uuid.uuid4().hex}.cdx.gz", 0, [], [], ""
 
         def flush() -> int:
@@ -158,8 +191,8 @@ def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> D
             lines.clear()
             return len(data)
 
-        for pdf in batches:
-            for line in zip(pdf["urlkey"], _ints(pdf["page_id"]), pdf["url"], pdf["archive"], _ints(pdf["offset"]), _ints(pdf["length"]), strict=True):
+        for batch in batches:
+            for line in zip(*(batch.column(c).to_pylist() for c in _CAPTURE), strict=True):
                 if out is None:
                     fs, path = _open(name)
                     fs.create_dir(path.rsplit("/", 1)[0])
@@ -174,10 +207,11 @@ def index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> D
             tail = zlib.compress(json.dumps(directory).encode())
             out.write(tail + struct.pack("<q", len(tail)))
             out.close()
-            yield pd.DataFrame({"file": [name], "first": [directory[0][0]], "last": [last], "tail": [len(tail)]})
+            yield pa.RecordBatch.from_pydict({"file": [name], "first": [directory[0][0]], "last": [last], "tail": [len(tail)]})
 
-    ordered = captures.repartitionByRange("urlkey", "page_id", "archive", "offset").sortWithinPartitions("urlkey", "page_id", "archive", "offset")
-    return stored(ordered.mapInPandas(blocks, "file string, first string, last string, tail long"), "index")
+    order = ("urlkey", "page_id", "archive", "offset")
+    ordered = captures.repartitionByRange(tasks(captures.sparkSession, captures.count()), *order).sortWithinPartitions(*order)
+    return stored(ordered.mapInArrow(blocks, "file string, first string, last string, tail long"), "index")
 
 
 class IndexFile:
@@ -219,18 +253,23 @@ def lookup(top: DataFrame, keys: DataFrame) -> DataFrame:
             hits = [(i, k) for k in pdf["urlkey"] for i in range(bisect_left(lasts, k), bisect_right(firsts, k))]
             yield pd.DataFrame(hits, columns=["number", "urlkey"])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, opened = -1, None
-        for pdf in batches:
-            rows = []
-            for i, key in zip(pdf["number"], pdf["urlkey"], strict=True):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, opened, rows = -1, None, []
+        for batch in batches:
+            for i, key in zip(*(batch.column(c).to_pylist() for c in ("number", "urlkey")), strict=True):
                 if i != number:
                     number, opened = i, IndexFile(shared.value[i][0], shared.value[i][3])
-                rows += opened.find(key)
-            yield pd.DataFrame(rows, columns=["urlkey", "page_id", "url", "archive", "offset", "length"]).astype({"page_id": "Int64", "offset": "int64", "length": "int64"})
+                for line in opened.find(key):
+                    rows.append(line)
+                    if len(rows) == 10_000:  # one key may have any number of captures
+                        yield _batch(rows, _CAPTURE)
+                        rows = []
+        if rows:
+            yield _batch(rows, _CAPTURE)
 
-    routed = keys.select("urlkey").distinct().mapInPandas(route, "number int, urlkey string")
-    return routed.repartitionByRange("number", "urlkey").sortWithinPartitions("number", "urlkey").mapInPandas(find, CAPTURE)
+    routed = stored(keys.select("urlkey").distinct().mapInPandas(route, "number int, urlkey string"), "routed-keys")
+    n = tasks(spark, routed.count())
+    return routed.repartitionByRange(n, "number", "urlkey").sortWithinPartitions("number", "urlkey").mapInArrow(find, CAPTURE)
 
 
 def keys_of(urls: DataFrame, url_col: str = "url") -> DataFrame:
@@ -246,11 +285,11 @@ def keys_of(urls: DataFrame, url_col: str = "url") -> DataFrame:
 def read(captures: DataFrame) -> DataFrame:
     """captures -> page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, by range reads."""
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
-        for pdf in batches:
-            rows = []
-            for archive, offset, length in zip(pdf["archive"], pdf["offset"], pdf["length"], strict=True):
+        for batch in batches:
+            rows, held = [], 0
+            for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive != name:
                     fs, path = _open(archive)
                     name, file = archive, fs.open_input_file(path)
@@ -259,10 +298,18 @@ def read(captures: DataFrame) -> DataFrame:
                 payload_bytes, digest = measured(r)
                 page, ref = r.get("X-Page-ID"), r.get("X-Refers-To-Page")
                 rows.append((page and int(page), r["WARC-Target-URI"], r["payload"], payload_bytes, digest, r["WARC-Type"], ref and int(ref)))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    ordered = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return ordered.mapInPandas(fetch, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                held += len(r["payload"])
+                if held > TASK_BYTES:
+                    yield _batch(rows, _READ)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, _READ)
+
+    places = stored(captures.select("archive", "offset", "length"), "places")
+    size = places.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    n = tasks(captures.sparkSession, size["n"], int(size["bytes"] or 0))
+    ordered = places.repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(fetch, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_folder(spark: SparkSession) -> str:
