@@ -1,4 +1,4 @@
-"""SimHash fingerprints and a search: permuted block tables for small radii, a whole scan for wide ones.
+"""SimHash fingerprints and a search by permuted block tables.
 
 The terms of a text (words and pairs of neighbouring words, and for short texts runs of three
 characters) are hashed to 128 bits; each votes on every bit with its weight, 1 + ln(count), and the
@@ -6,20 +6,24 @@ sign of the sum is the bit. The share of equal bits estimates the angle between
 `likeness` is the cosine of that angle, not below 0.
 
 Defined results: a null text counts as empty; the fingerprint of a text without terms is all zero bits.
-Equal texts have equal fingerprints. Rows with equal ids stand in the order of their text.
+Equal texts have equal fingerprints. Rows without id come last in the order of rows; rows of equal ids, or
+of none, stand in the order of a hash of their text. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ecoloom.llm.common import WordHashes, hashes_of, mixed, stored, words_of
+from ecoloom.llm.common import WordHashes, computed, hashes_of, mixed, stored, texts_of, words_of
 
 BITS = 128
 SHORT = 24  # texts of fewer words also give their runs of three characters
@@ -61,14 +65,13 @@ def likeness(one: bytes, two: bytes) -> float:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (32 hex digits) for every row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["id"], "fingerprint": [fingerprint(t, known).hex() for t in pdf["text"]]})
+        return lambda batch: [[fingerprint(t, known).hex() for t in texts_of(batch)]]
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(make, f"{id_col} {id_type}, fingerprint string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return computed(rows, ["id"], {"fingerprint": "string"}, make).withColumnRenamed("id", id_col)
 
 
 def _half(fp: Column, n: int) -> Column:
@@ -83,152 +86,115 @@ def distance(one: Column, two: Column) -> Column:
     return F.bit_count(_half(one, 0).bitwiseXOR(_half(two, 0))) + F.bit_count(_half(one, 1).bitwiseXOR(_half(two, 1)))
 
 
-def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3) -> DataFrame:
+def blocks_of(high: Column, low: Column, per_half: int) -> list[tuple[Column, int]]:
+    """(content as a long, width in bits) of the blocks that the two halves are cut into."""
+    cuts = [round(64 * i / per_half) for i in range(per_half + 1)]
+    widths = [(b, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(F.shiftrightunsigned(half, 64 - end).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)), width) for half in (high, low) for end, width in widths]
+
+
+def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, flips: int = 0) -> DataFrame:
     """query, fingerprint, distance: all distinct fingerprints within `radius` bits of each distinct query.
 
-    The bits are cut into radius + 1 blocks; two fingerprints within the radius agree in one block at
-    least. Every block leads one table, keyed by the block's number and content. Equal fingerprints are
-    one entry, so copies do not multiply; entries are met at their first common block only.
+    The bits are cut into blocks, so many that two fingerprints within the radius differ in at most `flips` bits
+    of one block at least. Every block leads one table, keyed by the block's number and content, and a query
+    asks each table for its own content with every choice of up to `flips` bits turned over: more flips, longer
+    keys and more questions. Equal fingerprints are one entry, so copies do not multiply; entries are met at
+    their first such block only.
     """
-    blocks = radius + 1
-    digits = BITS // 4
-    cuts = [round(i * digits / blocks) for i in range(blocks + 1)]
-    if radius >= digits:
-        raise ValueError("radius must be below 32: blocks are whole hex digits")
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = [F.substring(F.col(name), cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
-        return df.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct().select(name, F.posexplode(F.array(*keys)).alias("block", "key"))
-
-    q, t = tables(queries, "query"), tables(fingerprints, "fingerprint")
-    agree = [F.substring("query", cuts[i] + 1, cuts[i + 1] - cuts[i]) == F.substring("fingerprint", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
-    first = F.coalesce(*[F.when(a, F.lit(i)) for i, a in enumerate(agree)])
-    far = distance(F.col("query"), F.col("fingerprint"))
-    met = q.join(t, ["block", "key"]).filter((F.col("block") == first) & (far <= radius))
-    return met.select("query", "fingerprint", far.alias("distance"))
-
-
-def with_search(rows: DataFrame, radius: int = 7, divisor: int = 100, id_col: str = "doc_id") -> DataFrame:
-    """rows(id, fingerprint, ...) with n_similar: the distinct fingerprints within `radius` bits of the row's own,
-    itself included, for ids divisible by `divisor` (the queries); null for the others."""
-    queries = rows.filter(F.col(id_col) % divisor == 0).select("fingerprint")
-    counts = search(queries, rows, radius).groupBy(F.col("query").alias("q")).agg(F.count("*").alias("n_similar"))
-    joined = rows.join(counts, (F.col("fingerprint") == F.col("q")) & (F.col(id_col) % divisor == 0), "left")
-    return joined.drop("q")
-
-
-def scan(queries: DataFrame, table: DataFrame, radius: int, chunk: int = 4_000, most: int = 500_000, longest: int = 10_000) -> DataFrame:
-    """query, part, matches: array of (fingerprint, distance, first_id, copies): the rows of `table`
-    (fingerprint, first_id, copies; one row a fingerprint) within `radius` bits of each distinct query.
-
-    For radii at which blocks of radius + 1 are too short to select. The table is dealt in chunks of about
-    `chunk` by hash, and every chunk is compared whole with the queries, which are broadcast, `most` at a
-    time: no match is lost. A query has one part, or, beyond `longest` matches, one for each chunk.
-    """
-    spark = table.sparkSession
-    id_type = table.schema["first_id"].dataType.simpleString()
-    wanted = queries.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct().withColumn("lot", F.xxhash64("fingerprint", F.lit(1)))
-    lots = max(1, -(-wanted.count() // most))
-    chunks = max(1, -(-table.count() // chunk))
-    dealt = table.select("fingerprint", F.col("first_id").cast("string").alias("first_id"), "copies", F.pmod(F.xxhash64("fingerprint"), F.lit(chunks)).cast("int").alias("chunk"))
-
-    def halves(prints: list[str]) -> np.ndarray:
-        return np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(-1, 2)
-
-    def compare(lot: int) -> DataFrame:
-        asked = spark.sparkContext.broadcast(b"".join(bytes.fromhex(r[0]) for r in wanted.filter(F.pmod("lot", F.lit(lots)) == lot).select("fingerprint").collect()))
-
-        def near(pdf: pd.DataFrame) -> pd.DataFrame:
-            q = np.frombuffer(asked.value, np.uint64).reshape(-1, 2)
-            t = halves(pdf["fingerprint"].tolist())
-            prints, ids, copies = (pdf[c].to_numpy() for c in ("fingerprint", "first_id", "copies"))
-            low, high = np.ascontiguousarray(t[:, 0]), np.ascontiguousarray(t[:, 1])
-            out = []
-            for a, b in q:
-                apart = np.bitwise_count(low ^ a) + np.bitwise_count(high ^ b)
-                at = np.flatnonzero(apart <= radius)
-                if len(at):
-                    out.append((np.array([a, b]).tobytes().hex(), int(pdf["chunk"].iloc[0]), prints[at], apart[at].astype(np.int32), ids[at], copies[at]))
-            return pd.DataFrame(out, columns=["query", "chunk", "fingerprint", "distance", "first_id", "copies"])
-
-        return dealt.groupBy("chunk").applyInPandas(near, "query string, chunk int, fingerprint array<string>, distance array<int>, first_id array<string>, copies array<bigint>")
-
-    found = compare(0)
-    for lot in range(1, lots):
-        found = found.unionByName(compare(lot))
-    found = stored(found.select("query", "chunk", F.arrays_zip("fingerprint", "distance", "first_id", "copies").alias("matches")), "fingerprint-matches")
-    sizes = found.groupBy(F.col("query").alias("q")).agg(F.sum(F.size("matches")).alias("n"))
-    parts = found.join(sizes, F.col("query") == F.col("q")).withColumn("part", F.when(F.col("n") > longest, F.col("chunk")).otherwise(0))
-    typed = F.transform("matches", lambda m: F.struct(m["distance"].alias("distance"), m["fingerprint"].alias("fingerprint"), m["first_id"].cast(id_type).alias("first_id"), m["copies"].alias("copies")))
-    return parts.groupBy("query", "part").agg(F.array_sort(F.flatten(F.collect_list(typed))).alias("matches"))
-
-
-def with_matches(rows: DataFrame, radius: int = 27, divisor: int = 100, id_col: str = "doc_id", **options) -> DataFrame:
+    per_half = -(-(radius // (flips + 1) + 1) // 2)
+    if per_half > 32:
+        raise ValueError("radius is too wide for these flips: blocks have two bits at least")
+
+    def halves(df: DataFrame, name: str) -> DataFrame:
+        prints = df.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct()
+        return prints.select(name, _half(F.col(name), 0).alias(f"{name}_high"), _half(F.col(name), 1).alias(f"{name}_low"))
+
+    def asked(block: int, content: Column):
+        return lambda mask: F.struct(F.lit(block).alias("block"), content.bitwiseXOR(mask).alias("key"))
+
+    def keys(name: str, masks: bool) -> Column:
+        each = []
+        for i, (content, width) in enumerate(blocks_of(F.col(f"{name}_high"), F.col(f"{name}_low"), per_half)):
+            turned = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)] if masks else [0]
+            signed = [m - (1 << 64) if m >> 63 else m for m in turned]
+            each.append(F.transform(F.lit(signed).cast("array<long>"), asked(i, content)))
+        return F.explode(F.flatten(F.array(*each))).alias("at")
+
+    q = halves(queries, "query").select("*", keys("query", True)).select("*", "at.*").drop("at")
+    t = halves(fingerprints, "fingerprint").select("*", keys("fingerprint", False)).select("*", "at.*").drop("at")
+    high, low = F.col("query_high").bitwiseXOR(F.col("fingerprint_high")), F.col("query_low").bitwiseXOR(F.col("fingerprint_low"))
+    far = F.bit_count(high) + F.bit_count(low)
+    first = F.coalesce(*[F.when(F.bit_count(c) <= flips, F.lit(i)) for i, (c, _) in enumerate(blocks_of(high, low, per_half))])
+    return q.join(t, ["block", "key"]).filter((far <= radius) & (F.col("block") == first)).select("query", "fingerprint", far.alias("distance"))
+
+
+def with_matches(rows: DataFrame, radius: int = 23, flips: int = 2, divisor: int = 100, longest: int = 100_000, id_col: str = "doc_id") -> DataFrame:
     """rows(id, fingerprint, ...) with part and matches: for ids divisible by `divisor` (the queries), every
     fingerprint within `radius` bits of the row's own, itself included, nearest first: (distance,
     fingerprint, first_id, copies); null for the others.
 
     A fingerprint stands for the class of its copies: `copies` rows, the least id of which is first_id;
-    the rows that have it in the column fingerprint are its members. A query of more matches than fit a
-    row has them in several rows, numbered by part.
+    the rows that have it in the column fingerprint are its members. A query has one row, numbered part 0; only
+    one of more than `longest` matches has several.
 
-    27 bits reach copies of 0.8 (Jaccard on five words, one edited passage as well as scattered edits);
-    unrelated texts lie at about 34 bits and more.
+    23 bits reach copies of 0.8 (Jaccard on five words; see the README for shares); unrelated texts lie at 42
+    bits and more. With 2 flips the blocks have 16 bits.
     """
     classes = rows.filter(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
+    classes = stored(classes, "fingerprint-classes")
     asks = F.col(id_col) % divisor == 0
-    found = scan(rows.filter(asks), stored(classes, "fingerprint-classes"), radius, **options)
-    return rows.join(found, (F.col("fingerprint") == F.col("query")) & asks, "left").drop("query")
+    found = stored(search(rows.filter(asks), classes, radius, flips), "fingerprint-matches")
+    sizes = found.groupBy(F.col("query").alias("q")).agg(F.count("*").alias("n"))
+    parts = found.join(sizes, F.col("query") == F.col("q")).withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.ceil(F.col("n") / longest)).cast("int"))
+    named = parts.join(classes, "fingerprint").groupBy("query", "part").agg(F.array_sort(F.collect_list(F.struct("distance", "fingerprint", "first_id", "copies"))).alias("matches"))
+    return rows.join(named, (F.col("fingerprint") == F.col("query")) & asks, "left").drop("query")
+
+
+def rank_of(i: object, h: int) -> tuple:
+    """Sorts as the rows do, last row first: none, then ids ascending."""
+    return i is not None, i, h
+
+
+def ranges_of(keys: DataFrame, parts: int) -> list[tuple]:
+    """keys(id, h) -> the least and the greatest rank of each range, ascending, as Spark's range partitioner cuts
+    them; at most `parts` of them come to the driver."""
+    one = F.struct(F.col("id").isNotNull().alias("some"), "id", "h")
+    cut = keys.repartitionByRange(parts, F.col("id").asc_nulls_first(), "h").groupBy(F.spark_partition_id().alias("part"))
+    return sorted((tuple(r["low"]), tuple(r["high"])) for r in cut.agg(F.min(one).alias("low"), F.max(one).alias("high")).collect())
 
 
-def edited_neighbours(docs: DataFrame, rows_per_part: int = 2_000, most_parts: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_neighbours(docs: DataFrame, part_bytes: int = 8_000_000, most_parts: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row, in descending id (nulls last): its fingerprint, that of the text whose last third is
     replaced by the next row's beginning, and the likeness to both that and the next row's fingerprint.
 
-    Rows are cut into ranges of ids at quantiles; the first row of the next range is added to each, so
-    every range is worked through by itself, in order and row by row. The ranges are at most
-    `most_parts`; more rows make them longer, not different.
+    Rows are cut into ranges of (id, hash of text) of about part_bytes; the first row of the next range is
+    added to each, so every range is worked through by itself, in order and row by row, without being held.
+    Of most_parts ranges on they get longer (a gigabyte each at 100 TB).
     """
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.select("id").count()
-    parts = int(max(1, min(most_parts, n // rows_per_part)))
-    cuts = rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    edges = np.unique(np.array(cuts, dtype=float))
-    last = len(edges)
-
-    def place(ids: pd.Series) -> np.ndarray:
-        """The range of each id, ranges in descending order; nulls in one of their own at the end."""
-        values = ids.astype("float64").to_numpy()
-        at = last - np.searchsorted(edges, values, side="right")
-        return np.where(np.isnan(values), last + 1, at)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids), dtype="int32")
-
-    placed = rows.select("id", part_of("id").alias("part"))
-    firsts = {r["part"]: r["id"] for r in placed.groupBy("part").agg(F.max("id").alias("id")).collect()}  # one id a range
-    order = sorted(firsts)
-    before = {p: order[i - 1] for i, p in enumerate(order)}  # the range before the first is the last
-    heads = spark.sparkContext.broadcast((firsts, before))
-
-    @F.pandas_udf("array<int>")
-    def keys_of(ids: pd.Series) -> pd.Series:
-        first, prior = heads.value
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n_bytes = int(rows.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0)
+    parts = max(1, min(most_parts, n_bytes // part_bytes))
+    ranges = ranges_of(rows.select("id", "h"), parts)
+    heads = spark.sparkContext.broadcast(([low for low, _ in ranges], [high for _, high in ranges]))
+
+    @F.arrow_udf("array<int>")
+    def keys_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        lows, highs = heads.value
         out = []
-        for p, i in zip(place(ids), ids, strict=True):
-            p, at_head = int(p), pd.isna(i) or i == first[int(p)]
-            out.append([2 * p, 2 * prior[p] + 1] if at_head else [2 * p])
-        return pd.Series(out)
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+            rank = rank_of(i, h)
+            p = bisect_right(lows, rank) - 1
+            out.append([2 * p, 2 * ((p + 1) % len(lows)) + 1] if rank == highs[p] else [2 * p])
+        return pa.array(out, pa.list_(pa.int32()))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         held = None  # (key, id, text, fingerprint) of the row that waits for its next
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for key, i, text in zip(pdf["key"], pdf["id"], pdf["text"], strict=True):
+            for key, i, text in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "text")), strict=True):
                 # a waiting row takes the next of its range; the first added row closes the range
                 if held is not None and held[0] // 2 == key // 2:
                     fp = fingerprint(text, known)
@@ -237,7 +203,8 @@ def edited_neighbours(docs: DataFrame, rows_per_part: int = 2_000, most_parts: i
                 else:
                     held = (key, i, text, fingerprint(text, known)) if key % 2 == 0 else None
             if out:
-                yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                types = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["id", *new.names])
 
     def compared(row: tuple, next_text: str, next_fp: bytes, known: WordHashes) -> tuple:
         _, i, text, fp = row
@@ -245,9 +212,10 @@ def edited_neighbours(docs: DataFrame, rows_per_part: int = 2_000, most_parts: i
         edited = text[: len(text) - third] + next_text[:third]
         efp = fingerprint(edited, known)
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return None if pd.isna(i) else i, len(text), sha, fp.hex(), efp.hex(), likeness(fp, efp), likeness(fp, next_fp)
+        return i, len(text), sha, fp.hex(), efp.hex(), likeness(fp, efp), likeness(fp, next_fp)
 
-    dealt = rows.withColumn("key", F.explode(keys_of("id"))).withColumn("range", F.floor(F.col("key") / 2))
-    ordered = dealt.repartition("range").sortWithinPartitions("range", F.col("key") % 2, F.col("id").desc_nulls_last(), "text")
-    schema = f"id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.select("key", "id", "text").mapInPandas(walk, schema).withColumnRenamed("id", id_col)
+    new = StructType.fromDDL("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = rows.withColumn("key", F.explode(keys_of("id", "h"))).withColumn("range", F.floor(F.col("key") / 2))
+    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", F.col("key") % 2, F.col("id").desc_nulls_last(), F.desc("h"))
+    done = ordered.select("key", "id", "text").mapInArrow(walk, StructType([rows.schema["id"], *new.fields]))
+    return done.withColumnRenamed("id", id_col)
