@@ -58,7 +58,7 @@ def test_stages(spark, corpus):
             assert "jo.12@" not in texts[i]["text"] and len(texts[i]["text"]) == texts[i]["n_chars"] == len(r["text"])
         else:
             assert texts[i]["text"] == r["text"]
-    assert pii.PATTERNS
+    assert pii.KINDS
 
 
 def test_run_gives_the_stages_rows(spark, corpus):
