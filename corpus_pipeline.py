@@ -10,45 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecoloom.llm import decontamination, mixing, neardup, pii, quality
-from ecoloom.llm.common import identified, stored
+from ecoloom.llm.common import fresh, identified, stored
 
 #: Of the pseudonyms; a deployment sets its own.
 KEY = "ecoloom-pseudonyms"
 
 
-def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """rows (of identified()) whose row is not among those rejected, whatever their doc_id."""
-    return rows.join(rejected.select("row"), "row", "left_anti").drop("row")
+def without(rows: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """rows (of identified(), with its column `row`) that are not among those rejected, whatever their doc_id."""
+    return rows.join(rejected.select(row), row, "left_anti").drop(row)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    rows = identified(docs)
-    scored = quality.score_documents(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="row")
-    return without(rows, scored.filter("predicted = 0"))
+    rows, row = identified(docs)
+    scored = quality.score_documents(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return without(rows, row, scored.filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, that of the least doc_id (null last), of every group of near duplicates: similarity of
     0.8 and more on five words."""
-    rows = identified(docs)
-    found = stored(neardup.deduplicate(rows, percent=80, id_col="row").select("row", "component_id"), "components")
-    ranked = found.join(rows.select("row", "doc_id"), "row").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    first = ranked.groupBy("component_id").agg(F.min("rank")["row"].alias("first"))
-    return without(rows, found.join(first, "component_id").filter(F.col("row") != F.col("first")))
+    rows, row = identified(docs)
+    found = stored(neardup.deduplicate(rows, percent=80, id_col=row).select(row, "component_id"), "components")
+    ranked = found.join(rows.select(row, "doc_id"), row).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row))
+    first = ranked.groupBy("component_id").agg(F.min("rank")[row].alias("first"))
+    return without(rows, row, found.join(first, "component_id").filter(F.col(row) != F.col("first")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    rows = identified(docs)
-    checked = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
-    return without(rows, checked.filter("n_hit > 0"))
+    rows, row = identified(docs)
+    checked = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return without(rows, row, checked.filter("n_hit > 0"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts pseudonyms for personal data; n_chars follows the text."""
-    done = pii.pseudonymise(docs, KEY)
-    return done.withColumn("n_chars", F.when(F.col("n_private") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    spans, count = fresh(docs, "private"), fresh(docs, "n_private")
+    done = pii.pseudonymise(docs, KEY, spans_col=spans, count_col=count)
+    return done.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
