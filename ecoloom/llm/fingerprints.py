@@ -108,7 +108,7 @@ def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, flips:
 
     def halves(df: DataFrame, name: str) -> DataFrame:
         prints = df.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct()
-        return prints.select(name, _half(F.col(name), 0).alias(f"{name}_high"), _half(F.col(name), 1).alias(f"{name}_low"))
+        return prints.select(_half(F.col(name), 0).alias(f"{name}_high"), _half(F.col(name), 1).alias(f"{name}_low"))
 
     def asked(block: int, content: Column):
         return lambda mask: F.struct(F.lit(block).alias("block"), content.bitwiseXOR(mask).alias("key"))
@@ -126,7 +126,10 @@ def search(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, flips:
     high, low = F.col("query_high").bitwiseXOR(F.col("fingerprint_high")), F.col("query_low").bitwiseXOR(F.col("fingerprint_low"))
     far = F.bit_count(high) + F.bit_count(low)
     first = F.coalesce(*[F.when(F.bit_count(c) <= flips, F.lit(i)) for i, (c, _) in enumerate(blocks_of(high, low, per_half))])
-    return q.join(t, ["block", "key"]).filter((far <= radius) & (F.col("block") == first)).select("query", "fingerprint", far.alias("distance"))
+    # a query asks many times, so its side is never broadcast, however small the queries are
+    met = q.hint("merge").join(t, ["block", "key"]).filter((far <= radius) & (F.col("block") == first))
+    shown = lambda name: F.lower(F.concat(*[F.lpad(F.hex(f"{name}_{half}"), 16, "0") for half in ("high", "low")])).alias(name)
+    return met.select(shown("query"), shown("fingerprint"), far.alias("distance"))
 
 
 def with_matches(rows: DataFrame, radius: int = 23, flips: int = 2, divisor: int = 100, longest: int = 100_000, id_col: str = "doc_id") -> DataFrame:
