@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ecoloom.storage import release, shared_dir, stored  # noqa: F401  the operators take them from here
+
 #: Words that one Python worker remembers the hash of; beyond it the memory is emptied and filled anew.
 CACHED_WORDS = 200_000
 
@@ -32,37 +31,6 @@ ARROW = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder that driver and executors share, spark.checkpoint.dir.
-
-    Where the session names none, an error; only in local mode, where driver and executors are one process,
-    a folder of this machine.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/ecoloom-{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all tables, archives and indexes that this application has in the shared folder. Call it when
-    the results have been written elsewhere."""
-    folder = shared_dir(spark)
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-    if fs.get_file_info(path).type == pyarrow.fs.FileType.Directory:
-        fs.delete_dir(path)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def computed(df: DataFrame, keep: list[str], new: dict[str, str], start: Callable) -> DataFrame:
     """The columns `keep` of df as they are, and the columns `new` (name -> a type of ARROW).
 

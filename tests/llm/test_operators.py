@@ -584,13 +584,13 @@ def test_mixing_does_not_depend_on_the_order_of_rows(spark, big):
 
 
 def test_stored_tables_can_be_released(spark, tmp_path, monkeypatch):
-    from ecoloom.llm import common
+    from ecoloom import storage
 
-    assert common.shared_dir(spark).endswith(spark.sparkContext.applicationId)
-    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/app")
-    common.stored(spark.range(3), "x")
+    assert storage.shared_dir(spark).endswith(spark.sparkContext.applicationId)
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}/app")
+    storage.stored(spark.range(3), "x")
     assert list(tmp_path.iterdir())
-    common.release(spark)
+    storage.release(spark)
     assert not list(tmp_path.iterdir())
 
 
