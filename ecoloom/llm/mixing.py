@@ -24,8 +24,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecoloom.llm.common import identified
-
 #: Documents of a bucket, about.
 BUCKET_ROWS = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +34,7 @@ def size_of(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, repeat: float = 2.0) -> DataFrame:
-    """sizes(source, source_size) -> source, source_size, weight, rank, target; one row a source.
+    """sizes(source, source_size, ...) -> the same with weight, rank, target; one row a source.
 
     Sources reach their cap in the order of cap / weight. The first k are capped when the level
     (budget - their caps) / (weight of the others) is still at or above the k-th ratio.
@@ -51,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, r
     # the level before the first source that stays below its cap holds for it and for all after it
     tried = ranked.withColumn("level", level).withColumn("below", F.col("level") < F.col("ratio"))
     held = F.min(F.when(F.col("below"), F.struct("ratio", "rank", "level"))).over(whole)["level"]
-    return tried.withColumn("held", held).withColumn("target", F.when(F.col("held").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("held") * F.col("weight")))).select("source", "source_size", "rank", "weight", "target")
+    return tried.withColumn("held", held).withColumn("target", F.when(F.col("held").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("held") * F.col("weight")))).select(*sizes.columns, "rank", "weight", "target")
 
 
 def position(share: Column, start: Column, end: Column) -> Column:
@@ -71,29 +69,28 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    row_col: str | None = None,
+    whole_rows: bool = False,
 ) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken, copies; and row_col, if given, which
-    also orders rows of equal ids and texts.
+    """One row a document: id, source, size, source_size, target, taken, copies; with whole_rows, the columns of
+    docs in a struct `own` too.
 
     copies: array of (copy, words, position), one for each pass over the source that takes some of the
     document. weights and schedules (weight at the start and at the end of training) go to the sources in
     order of name, repeating.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), *([F.col(row_col).alias("row")] if row_col else []))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")] if whole_rows else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("tie"), *own)
     digits = max(1, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
     named = F.coalesce(F.col("id").cast("string"), F.col("tie").cast("string"))  # rows without id are spread by their text
-    rows = rows.withColumn("digest", F.md5(named.cast("binary"))).withColumn("bucket", F.substring("digest", 1, digits))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), list(weights), share, float(repeat))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset")
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "tie", *(["row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(starts, rows.source.eqNullSafe(F.col("s")) & (rows.bucket == F.col("b"))).drop("s", "b")
-    t = targets.withColumnRenamed("source", "s")
-    rows = rows.join(t, rows.source.eqNullSafe(F.col("s"))).drop("s")
+    place = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # not null, for joins by equality
+    rows = rows.withColumn("place", place).withColumn("digest", F.md5(named.cast("binary"))).withColumn("bucket", F.substring("digest", 1, digits))
+    sums = rows.groupBy("source", "place", "bucket").agg(F.sum("size").alias("bucket_size"))
+    targets = source_targets(sums.groupBy("source", "place").agg(F.sum("bucket_size").alias("source_size")), list(weights), share, float(repeat))
+    before = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select("place", "bucket", "offset").join(targets.drop("source"), "place")
+    inside = Window.partitionBy("place", "bucket").orderBy("digest", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["place", "bucket"])
     pick = (F.pmod(F.col("rank"), F.lit(len(schedules))) + 1).cast("int")
     begin, end = (F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), pick) for i in (0, 1))
     due = F.floor("target")
@@ -106,7 +103,7 @@ def mix(
 
     rows = rows.withColumn("copies", F.filter(F.array(*map(copy, range(repeat))), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "copies", *([F.col("row").alias(row_col)] if row_col else []))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "copies", *(["own"] if whole_rows else []))
 
 
 def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -120,8 +117,8 @@ def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def scheduled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus in training order: the rows of docs, once for each copy taken, with mix_copy, mix_words
     and mix_position, range-partitioned and sorted by position. Columns of docs with these three names are
-    replaced."""
-    rows, row = identified(docs.drop("mix_copy", "mix_words", "mix_position"))  # ids may be null or repeated
-    plan = mix(rows, id_col=id_col, row_col=row, **options).select(row, F.explode("copies").alias("c"))
-    plan = plan.select(row, F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
-    return rows.join(plan, row).drop(row).repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")
+    replaced. Rows carry all their columns through the plan, so none is looked up by its id."""
+    plan = mix(docs.drop("mix_copy", "mix_words", "mix_position"), id_col=id_col, whole_rows=True, **options)
+    each = plan.select("own", F.explode("copies").alias("c"))
+    out = each.select("own.*", F.col("c.copy").alias("mix_copy"), F.col("c.words").alias("mix_words"), F.col("c.position").alias("mix_position"))
+    return out.repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col, "mix_copy")

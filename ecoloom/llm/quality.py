@@ -193,6 +193,30 @@ def scored(stats: DataFrame, model: Model, out: str, keep: list[str]) -> DataFra
     return computed(stats.select(*keep, "stats"), keep, {out: "double"}, score)
 
 
+def learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """id, label of the label rows that may teach."""
+    return labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(learned_from("id", 4, 2))
+
+
+def labelled_rows(stats: DataFrame, known: DataFrame) -> DataFrame:
+    return stats.join(known, "id").withColumn("calibrate", F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("stats", "label", "calibrate")
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, score_col: str = "score", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """docs with all its columns and the score of each row's text, in one pass over them: no row is looked up by
+    its id. The model is that of score_documents(), from the labelled rows alone."""
+    known = learnable(labels, id_col, label_col)
+    taught = docs.select(id_col, text_col).join(known.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    model = fit(labelled_rows(stored(with_statistics(taught, id_col, text_col), "labelled-stats"), known))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by n_features
+
+    def score():
+        m = shared.value
+        return lambda b: [calibrated(m.raw(np.array([statistics(t) for t in b.column(text_col).to_pylist()])), m.knots)]
+
+    return computed(docs, docs.columns, {score_col: "double"}, score)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """id, held_out, score, predicted for every row of docs; and row_col, if given.
 
@@ -200,9 +224,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     calibrate and the others fit the ridge.
     """
     stats = stored(with_statistics(docs, id_col, text_col, row_col), "quality-stats")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(learned_from("id", 4, 2))
-    labelled = stats.join(known, "id").withColumn("calibrate", F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("stats", "label", "calibrate")
-    model = fit(labelled)
+    model = fit(labelled_rows(stats, learnable(labels, id_col, label_col)))
     return scored(stats, model, "score", ["id", "row"] if row_col else ["id"]).select(
         F.col("id").alias(id_col),
         (~learned_from("id", 4, 2)).alias("held_out"),
