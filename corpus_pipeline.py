@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from ecoloom.llm import decontamination, mixing, neardup, pii, quality
 from ecoloom.llm.common import fresh, identified, stored
 
+#: Score below which the quality stage rejects; that of the operator's `predicted`.
+LEAST_QUALITY = 0.7
 #: Of the pseudonyms; a deployment sets its own.
 KEY = "ecoloom-pseudonyms"
 
 
 def without(rows: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
-    """rows (of identified(), with its column `row`) that are not among those rejected, whatever their doc_id."""
+    """rows whose column `row` is not among those rejected, whatever their doc_id; without that column."""
     return rows.join(rejected.select(row), row, "left_anti").drop(row)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    rows, row = identified(docs)
-    scored = quality.score_documents(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
-    return without(rows, row, scored.filter("predicted = 0"))
+    score = fresh(docs, "score")
+    scored = quality.with_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score)
+    return scored.filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    rows, row = identified(docs)
-    checked = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
-    return without(rows, row, checked.filter("n_hit > 0"))
+    digest = fresh(docs, "digest")
+    rows = docs.withColumn(digest, F.md5(F.encode("text", "UTF-8")))  # equal texts hold the same windows
+    checked = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=digest)
+    return without(rows, digest, checked.filter("n_hit > 0"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
