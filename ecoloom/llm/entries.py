@@ -96,7 +96,7 @@ t as (
 c as (
   select d.*, t.source_size, t.target, weight_from, (weight_to - weight_from) / 2 as half,
          coalesce(sum(size) over (partition by d.source order by digest, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start_at
-  from d join t on d.source is not distinct from t.source)
+  from d join t on d.source is not distinct from t.source),
 w1 as (select *, greatest(0, least(size, floor(target)::bigint - start_at)) as one, greatest(0, least(size, floor(target)::bigint - start_at - source_size)) as two from c),
 s1 as (select *, start_at / greatest(1.0::double, target) as share_1, (start_at + source_size) / greatest(1.0::double, target) as share_2 from w1),
 a1 as (select *, share_1 * (weight_from + half) as area_1, share_2 * (weight_from + half) as area_2 from s1)
