@@ -718,3 +718,25 @@ def test_neardup_with_every_id_missing(spark):
     texts = [prose(40) for _ in range(60)]
     docs = spark.createDataFrame([(None, t) for t in texts * 2], "doc_id long, text string")
     assert neardup.deduplicate(docs).count() == 120
+
+
+@pytest.mark.parametrize("name", ["op4_decontamination", "op6_mixing"])
+def test_query_equals_its_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from ecoloom.llm import entries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    assert set(entries.ORACLE_SQL) == {"op4_decontamination", "op6_mixing"}
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    want, got = con.sql(entries.ORACLE_SQL[name]).df(), entries.QUERIES[name](spark, folder).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    rows = lambda df: df[columns].sort_values("doc_id").astype(object).where(df[columns].notna(), None).values.tolist()
+    assert rows(got) == rows(want)
