@@ -18,6 +18,9 @@ other. So a large group of near copies costs a multiple of its size.
 The union sketch of a pair estimates its similarity; pairs within `sigmas` standard deviations of the
 threshold or above go on to the exact test on the full sets.
 
+Without `sigmas` nothing is estimated: every node takes part with its whole set for a sketch, the prefix filter is
+exact, and all pairs that it leaves are verified.
+
 Defined results: a null or empty text has an empty set, n_shingles 0, and is linked with nothing. Rows
 with equal ids are separate texts (an id in two groups is reported with each row's own group). A null
 id never becomes a group's name while another id is there. Columns beside id and text are not touched.
@@ -35,6 +38,10 @@ from pyspark.sql import functions as F
 from ecoloom.llm.common import WordHashes, computed, hashes_of, shingle_hashes, stored, texts_of, words_of
 
 
+#: More than any text has: a sketch of so many values is the whole set.
+MOST_SHINGLES = 2**31 - 1
+
+
 def shingle_set(text: str | None, known: WordHashes, width: int) -> np.ndarray:
     """The distinct shingles as ascending 63-bit numbers."""
     return np.unique(shingle_hashes(hashes_of(words_of(text), known), width) >> np.uint64(1)).astype(np.int64)
@@ -160,18 +167,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def deduplicate(
-    docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, k_wide: int = 512, sigmas: float = 5.5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 85, width: int = 5, k: int = 32, k_wide: int = 512, sigmas: float | None = 5.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of docs; see the module's text.
 
     A true link is lost only if a sketch shows it `sigmas` standard deviations less alike than it is: less than
-    one in a million links at 5.5.
+    one in a million links at 5.5. With sigmas None no link is lost, at the cost of lists of all shingles.
     """
     j = percent / 100
+    whole = sigmas is None
+    if whole:
+        k_wide, sigmas = MOST_SHINGLES, 0.0
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     each = stored(sketches(rows, width, k), "sketches")
     nodes = each.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.any_value("sketch").alias("sketch"))
-    alike = stored(screened(nodes.select("node", "sketch"), j, k, sigmas), "screened")
+    alike = stored(nodes.select("node") if whole else screened(nodes.select("node", "sketch"), j, k, sigmas), "screened")
 
     # the full set of each node left, from one text that has it
     holders = nodes.join(alike, "node", "left_semi").select(F.col("least").alias("holder")).distinct()
@@ -180,10 +190,13 @@ def deduplicate(
     near = sets.select("node", F.size("shingles").alias("n"), F.slice("shingles", 1, k_wide).alias("sketch"))
     lists = stored(postings(near, j, k_wide, sigmas), "postings")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verified(pairs if whole else estimated(pairs, near, k_wide, j, sigmas), sets, percent)
+
     hubs = lists.groupBy("v").agg(F.max(F.struct((F.col("shared") / F.col("s")).alias("typical"), "node", "n", "s", "pos")).alias("hub"), F.count("*").alias("members")).filter("members > 1").select("v", "hub")
     star = lists.select("v", F.struct("node", "n", "s", "pos").alias("x")).join(hubs, "v").filter((F.col("x.node") != F.col("hub.node")) & may_link("x", "hub", j, k_wide, sigmas))
     star = star.select(F.least("x.node", "hub.node").alias("a"), F.greatest("x.node", "hub.node").alias("b")).distinct()
-    links = stored(verified(estimated(star, near, k_wide, j, sigmas), sets, percent), "star-links")
+    links = stored(linked(star), "star-links")
     roots = components(links)
 
     # what stands in one list but in different components so far
@@ -197,7 +210,7 @@ def deduplicate(
     shared = (x["v"] == y["v"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     cross = x.join(y, shared & may_link("x", "y", j, k_wide, sigmas) & rarest).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     cross = cross.join(star, ["a", "b"], "left_anti")
-    more = stored(verified(estimated(cross, near, k_wide, j, sigmas), sets, percent), "cross-links")
+    more = stored(linked(cross), "cross-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 

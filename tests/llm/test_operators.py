@@ -102,10 +102,35 @@ def test_neardup_matches_brute_force(spark):
                 if both and 100 * both >= percent * len(sets[i] | sets[j]):
                     a, b = root[i], root[j]
                     root = [min(a, b) if r in (a, b) else r for r in root]
-        got = {r["doc_id"]: r for r in neardup.deduplicate(documents(spark, texts), percent=percent).collect()}
-        assert [got[i]["component_id"] for i in range(len(texts))] == root
-        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
-        assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+        for sigmas in (5.5, None):
+            got = {r["doc_id"]: r for r in neardup.deduplicate(documents(spark, texts), percent=percent, sigmas=sigmas).collect()}
+            assert [got[i]["component_id"] for i in range(len(texts))] == root
+            assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+            assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+@pytest.mark.parametrize("sigmas", [5.5, None])
+def test_neardup_of_long_texts_loses_no_link(spark, sigmas):
+    """Sets beyond the wide sketch, with pairs close to the threshold on either side."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        for edits in (0, 8, 12, 14, 15, 16, 20):  # 14 is within 85 %, 15 beyond
+            w = list(base)
+            for at in rng.sample(range(900), edits):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(w)
+    sets, root = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.deduplicate(documents(spark, [" ".join(w) for w in texts]), sigmas=sigmas).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert 8 < len(set(root)) < len(texts)
 
 
 def test_neardup_large_group_is_one_component(spark):
